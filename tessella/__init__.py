@@ -1,0 +1 @@
+"""Chunked evidence analytics on Spark: objects, files, chunks, segments and extents as DataFrames."""

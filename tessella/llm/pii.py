@@ -154,11 +154,16 @@ def _told(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def disclosing(docs: DataFrame, told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(value, term, share): PMI(term; value) / IC(value) of the pairs that reach alpha."""
     seen = told.filter("mentions is not null").select("row", F.explode("mentions").alias("m")).select("row", "m.value", "m.context", F.explode("m.near").alias("w")).select("row", "value", "context", "w.term")
+    total = told.count()
+    values = told.filter("mentions is not null").select("row", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["value"]))).alias("value")).groupBy("value").agg(F.count("*").alias("of_value"))
+    share = lambda of_term: F.log2(F.col("both") * F.lit(total) / (of_term * F.col("of_value"))) / -F.log2(F.col("of_value") / F.lit(total))
     pairs = seen.groupBy("value", "term").agg(F.countDistinct("row").alias("both"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support)
-    pairs = scratch.put("pairs", pairs)
+    # a term is in at least as many documents as have it by any value: pairs that fall short even so need no count over the corpus
+    near = seen.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    pairs = pairs.join(values, "value").filter(F.col("of_value") < total).join(near, "term").filter(share(F.col("near")) >= alpha - 1e-9)
+    pairs = scratch.put("pairs", pairs.drop("near"))
     terms = pairs.select("term").distinct()
-    n_terms, total = terms.count(), told.count()
-    values = told.filter("mentions is not null").select("row", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["value"]))).alias("value")).groupBy("value").agg(F.count("*").alias("of_value"))
+    n_terms = terms.count()
     if n_terms:
         bare = F.transform(words(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.regexp_extract(w, r"^[^\p{L}\p{N}]*+(.*?)[^\p{L}\p{N}]*$", 1))
         corpus = id_and_text(docs).select(F.explode(F.array_distinct(bare)).alias("term"))
@@ -166,8 +171,7 @@ def disclosing(docs: DataFrame, told: DataFrame, scratch: Scratch, alpha: float
     else:
         corpus = terms
     counted = corpus.groupBy("term").agg(F.count("*").alias("of_term"))
-    share = F.log2(F.col("both") * F.lit(total) / (F.col("of_term") * F.col("of_value"))) / -F.log2(F.col("of_value") / F.lit(total))
-    rated = pairs.join(values, "value").join(counted, "term").filter(F.col("of_value") < total).select("value", "term", share.alias("share"))
+    rated = pairs.join(counted, "term").select("value", "term", share(F.col("of_term")).alias("share"))
     return rated.filter(F.col("share") >= alpha - 1e-9)
 
 

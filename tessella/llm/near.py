@@ -4,8 +4,8 @@ A document's set are its distinct word shingles; documents with equal sets form
 anything else. A class keeps the SKETCH least hashes of its set. Inverted lists of retained values generate overlaps:
 a pair at the threshold shares at least ``overlap(n)`` retained values but for one chance in 10^11, so each class is listed under
 its rarest values only, as many as leave no such pair without a common list. A list first links all its classes to two
-centres. Only lists that still hold several components go on: short ones pair up their classes, long ones are dealt out in blocks and
-compared within; nothing is capped. The sketch of the union estimates the similarity of each pair and filters with the same
+centres. Only lists that still hold several components go on: short ones pair up their classes, long ones are dealt out in blocks whose
+full sets are compared; nothing is capped. The sketch of the union estimates the similarity of each pair and filters with the same
 certainty; exact Jaccard on the full sets confirms every link. Components come from minimum labels with
 pointer jumping over tables in the shared folder.
 
@@ -126,27 +126,51 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def _block_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes from long lists: entries meet block by block, and only pairs whose sketches overlap come out."""
+COLUMNS = 4096
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(x).view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(own, pa.list_(pa.int64()))], names=["cls", "set"])
+
+    return texts.select("cls", "text").mapInArrow(fn, "cls long, set array<long>")
+
+
+def _block_links(groups: DataFrame, percent: int) -> DataFrame:
+    """Links within each ``grp`` of ``held`` classes: full sets meet block by block, every pair once, and exact Jaccard decides. Of the links
+    between two components in a block one comes out."""
 
     def fn(table: pa.Table) -> pa.Table:
         cls, comp, n, own = (table.column(c).to_numpy() for c in ("cls", "comp", "n", "own"))
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        sketches = [np.asarray(s, np.int64) for s in table.column("sketch").to_pylist()]
-        values, at = np.unique(np.concatenate(sketches), return_inverse=True)
-        held = np.zeros((len(cls), len(values)), np.float32)
-        held[np.repeat(np.arange(len(cls)), [len(s) for s in sketches]), at] = 1
+        x, y = (table.column(c)[0].as_py() for c in "xy")
+        sets = [np.asarray(s, np.int64) for s in table.column("set").to_pylist()]
+        rows = np.repeat(np.arange(len(cls)), [len(s) for s in sets])
+        values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1  # what only one document here has is in no intersection
+        common = times[at] > 1
+        rows, at = rows[common], column[at[common]]
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        least = np.minimum(OVERLAP, -(-percent * n // 100))
-        shared = held[left] @ held[right].T
-        l, r = np.nonzero((shared >= np.maximum(least[left][:, None], least[right][None, :])) & (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])))
-        a, b = cls[left[l]], cls[right[r]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(at, [first, first + COLUMNS])
+            held = np.zeros((len(cls), COLUMNS), np.float32)
+            held[rows[a:b], at[a:b] - first] = 1
+            shared += held[left] @ held[right].T
+        size = n.astype(np.float64)
+        l, r = np.nonzero((100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)) & (comp[left][:, None] != comp[right][None, :]))
+        a, b = left[l], right[r]
+        ends = np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])])
+        one = np.unique(ends, axis=1, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(cls[a[one]], pa.int64()), "b": pa.array(cls[b[one]], pa.int64())})
 
     blocks = F.ceil(F.col("held") / BLOCK_OF_LIST).cast("long")
-    dealt = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    dealt = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    return dealt.select("v", "x", "y", "own", "cls", "comp", "n", "sketch").groupBy("v", "x", "y").applyInArrow(fn, "a long, b long").distinct()
+    return dealt.select("grp", "x", "y", "own", "cls", "comp", "n", "set").groupBy("grp", "x", "y").applyInArrow(fn, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -166,12 +190,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     kept = F.least("n", F.lit(SKETCH))
     needed = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * percent / 100))
     listed = retained.join(common, "v").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("found"))
-    keys = F.greatest(F.size("found") - needed + 1, F.lit(0)).cast("int")  # kept - needed + 1 rarest, of which kept - found are nobody else's
-    index = scratch.put("index", listed.filter(keys > 0).select("cls", "n", F.explode(F.slice("found", 1, F.greatest(keys, F.lit(1)))).alias("key")).select("cls", "n", F.col("key.v").alias("v")))
+    n_keys = F.greatest(F.size("found") - needed + 1, F.lit(0)).cast("int")  # kept - needed + 1 rarest, of which kept - found are nobody else's
+    rarest = F.transform(F.slice("found", 1, F.greatest(n_keys, F.lit(1))), lambda x: x["v"])
+    weight = F.aggregate("found", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])  # the text that all near copies were made from holds the most common values
+    index = scratch.put("index", listed.filter(n_keys > 0).select("cls", "n", weight.alias("weight"), F.explode(rarest).alias("v")))
 
     sizes_fit = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    ordered = F.struct(F.xxhash64("cls").alias("h"), "cls", "n")
-    centres = index.groupBy("v").agg(F.min(ordered).alias("lo"), F.max(ordered).alias("hi"), F.count("*").alias("held")).filter("held > 1")
+    by_hash, by_weight = F.struct(F.xxhash64("cls").alias("h"), "cls", "n"), F.struct("weight", F.xxhash64("cls").alias("h"), "cls", "n")
+    centre = lambda c: F.struct(F.col(f"{c}.cls").alias("cls"), F.col(f"{c}.n").alias("n")).alias(c)
+    centres = index.groupBy("v").agg(F.min(by_hash).alias("lo"), F.max(by_weight).alias("hi"), F.count("*").alias("held")).filter("held > 1").select("v", centre("lo"), centre("hi"))
     spokes = index.join(centres, "v").select("cls", "n", F.explode(F.array("lo", "hi")).alias("c"))
     stars = spokes.filter((F.col("cls") != F.col("c.cls")) & sizes_fit(F.col("n"), F.col("c.n"))).select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
     wanted = scratch.put("wanted", index.select("cls").distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls"))
@@ -187,10 +214,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     short = rest.filter(F.col("held") <= SHORT_LIST).drop("held")
     other = short.select("v", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp")))
     pairs = short.join(other, "v").filter((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & sizes_fit(F.col("n"), F.col("n2"))).select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
-    long = rest.filter(F.col("held") > SHORT_LIST).join(classes.select("cls", "sketch"), "cls")
-    pairs = pairs.unionByName(_block_pairs(long, percent)).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     more = scratch.put("more", _verified(_estimated(pairs, classes), texts, percent))
-    labels = components(links.unionByName(more), scratch, "second")
+
+    # Long lists of one group of near copies have nearly the same members: where lists hang together and one pass over their union is less work, the
+    # union is compared, else each list by itself.
+    long = scratch.put("long", rest.filter(F.col("held") > SHORT_LIST))
+    firsts = long.groupBy("v").agg(F.min("cls").alias("first"))
+    unions = components(long.join(firsts, "v").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct(), scratch, "unions")
+    member = long.join(unions.select("cls", F.col("comp").alias("union")), "cls")
+    in_union = member.select("union", "cls", "n", "comp").distinct()
+    size = in_union.groupBy("union").agg(F.count("*").cast("double").alias("members"))
+    work = member.groupBy("union", "v").agg(F.count("*").cast("double").alias("k")).groupBy("union").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
+    sizes = scratch.put("sizes", size.join(work, "union").withColumn("whole", F.col("members") * F.col("members") <= F.col("work")))
+    whole = in_union.join(sizes.filter("whole"), "union").select(F.concat(F.lit("u"), F.col("union")).alias("grp"), "cls", "n", "comp", F.col("members").alias("held"))
+    apart = member.join(sizes.filter("not whole"), "union").select(F.concat(F.lit("v"), F.col("v")).alias("grp"), "cls", "n", "comp", F.col("held").cast("double").alias("held"))
+    blocked = scratch.put("blocked", _block_links(whole.unionByName(apart).join(_sets(texts), "cls"), percent))
+    labels = components(links.unionByName(more).unionByName(blocked), scratch, "second")
 
     of = classes.select("cls", "set_key", "least_doc").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of.groupBy("comp").agg(F.min("least_doc").alias("least"))

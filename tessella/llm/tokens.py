@@ -23,8 +23,11 @@ CACHE_WORDS = 1_500_000  # a full cache starts anew; results don't depend on it
 LONGEST_CACHED = 64
 
 _BYTE_WORD = re.compile(rb"[ \t\n]*[^ \t\n]+|[ \t\n]+")
+_UNEVEN = (b"  ", b"\n\n", b" \n", b"\n ", b"\t")
+_ODD_ASCII = re.compile(rb"[\x0b-\x1f\x7f]")
 _ODD_SPACE = re.compile(rb"[\x0b-\x1f\x7f]|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
 #: Characters for which Unicode versions, NFC and lower case leave no doubt.
+_MARKS = frozenset(".,;:!?")
 _PLAIN = re.compile("[\t\n\x20-\x7eÀ-įı-ž]+")
 
 
@@ -35,6 +38,22 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class _After(dict):
+    """word -> ids of the word after a blank, or after the line end that it starts with."""
+
+    def __init__(self, words: WordIds):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.words.encoded(word if word[:1] == b"\n" else b" " + word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = got
+        return got
+
+
 class WordIds(dict):
     """word bytes -> its ids as little-endian bytes of ``width`` bytes each."""
 
@@ -54,6 +73,7 @@ class WordIds(dict):
         table = dict(enumerate(byte_alphabet()))
         self.to_alphabet = lambda s: s.encode().decode("latin-1").translate(table)
         self.parts: dict[str, bytes] = {}
+        self.after = _After(self)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -61,7 +81,9 @@ class WordIds(dict):
     def part(self, s: str) -> bytes:
         got = self.parts.get(s)
         if got is None:
-            ids = [t.id for t in self.model.tokenize(s if s.isascii() and s.isprintable() and " " not in s else self.to_alphabet(s))]
+            bare = s[1:] if s[0] == " " else s
+            shown = (s if bare is s else "\u0120" + bare) if bare.isascii() and bare.isalpha() else self.to_alphabet(s)
+            ids = [t.id for t in self.model.tokenize(shown)]
             got = array(self.code, ids).tobytes()
             if len(s) <= LONGEST_CACHED:
                 if len(self.parts) >= CACHE_WORDS:
@@ -69,13 +91,23 @@ class WordIds(dict):
                 self.parts[s] = got
         return got
 
-    def __missing__(self, word: bytes) -> bytes:
+    def encoded(self, word: bytes) -> bytes:
         s = word.decode()
         if _PLAIN.fullmatch(s) and "<|" not in s:
             s = s.lower() if self.drops_space else s
-            got = self.part(s) if s.isalpha() else b"".join(map(self.part, self.split.findall(s)))
+            bare = s[1:] if s[0] == " " else s
+            if bare.isalpha():
+                got = self.part(s)
+            elif bare[-1:] in _MARKS and bare[:-1].isalpha():
+                got = self.part(s[:-1]) + self.part(s[-1])
+            else:
+                got = b"".join(map(self.part, self.split.findall(s)))
         else:
             got = self.whole(s)
+        return got
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.encoded(word)
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -88,9 +120,13 @@ class WordIds(dict):
             return b""
         if self.drops_space:
             return b"".join(map(self.__getitem__, text.split()))
-        if _ODD_SPACE.search(text):
+        if (_ODD_ASCII if text.isascii() else _ODD_SPACE).search(text):
             return self.whole(text.decode())
-        return b"".join(map(self.__getitem__, _BYTE_WORD.findall(text)))
+        if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _UNEVEN):
+            return b"".join(map(self.__getitem__, _BYTE_WORD.findall(text)))
+        # single blanks and line ends: all words but the first have one before them, and a blank goes without saying
+        first, *rest = text.replace(b"\n", b" \n").split(b" ")
+        return self[first] + b"".join(map(self.after.__getitem__, rest))
 
 
 _held: dict[tuple[str, int], WordIds] = {}

@@ -107,9 +107,9 @@ def _measured(carried: DataFrame, text: Column) -> DataFrame:
     }
     by_words = let(words(own), lambda w: F.struct(F.size(w).alias("n_words"), n_repeat_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).alias("n_distinct_words")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    # the generator keeps the structs from being computed anew for each field
+    # the generator keeps the structs from being computed anew for each field, and for each rule where a filter on the verdict is pushed below
     kept = ["doc_id", "row"] if "row" in carried.columns and dict(carried.dtypes)["row"].startswith("struct") else ["doc_id"]
-    told = carried.select(*kept, *(c.alias(n) for n, c in exact.items()), F.inline(F.array(F.struct(by_words.alias("w"), by_lines.alias("l")))))
+    told = carried.select(*kept, F.inline(F.array(F.struct(by_words.alias("w"), by_lines.alias("l"), *(c.alias(n) for n, c in exact.items())))))
     fields = ("w.n_words", *exact, "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", "w.n_distinct_words")
     whole = told.select(*kept, *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in fields))
     failures = F.lit(0)

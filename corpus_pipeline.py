@@ -9,13 +9,16 @@ from tessella.llm import near, packing, pii, quality_rules, substring
 from tessella.llm.common import Scratch, read_table
 from tessella.llm.tokens import BYTE_FILE
 
+#: Near duplicates share 0.8 of their five-word shingles; the 85 that ``near`` assumes is op7's.
+NEAR_PERCENT = 80
+
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.passing(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.deduped(docs)
+    return near.deduped(docs, NEAR_PERCENT)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

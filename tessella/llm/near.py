@@ -2,7 +2,7 @@
 
 A document's set are its distinct word shingles; documents with equal sets form a class, so copies collapse before
 anything else. A class keeps the SKETCH least hashes of its set. Inverted lists of retained values generate overlaps:
-a pair at the threshold shares at least ``overlap(n)`` retained values but for one chance in 10^11, so each class is listed under
+a pair at the threshold shares at least ``overlap(percent)`` retained values but for one chance in 10^12, so each class is listed under
 its rarest values only, as many as leave no such pair without a common list. A list first links all its classes to two
 centres. Only lists that still hold several components go on: short ones pair up their classes, long ones are dealt out in blocks whose
 full sets are compared; nothing is capped. The sketch of the union estimates the similarity of each pair and filters with the same
@@ -16,6 +16,7 @@ only then. Repeated rows share a class. Columns other than doc_id and text are i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,22 @@ from tessella.llm.substring import _B1, _hash, rolled
 
 SHINGLE = 5
 SKETCH = 48
-OVERLAP = 20
+MISSED = 1e-12
 SHORT_LIST = 64
 BLOCK_OF_LIST = 256
 BROADCAST_ROWS = 500_000  # of 24 bytes each: at most 12 MB; more rows are joined by shuffle
 
 
+def overlap(percent: int) -> int:
+    """How many of the SKETCH least hashes of the union a pair at the threshold has in common, but for a chance of MISSED."""
+    p, chance = percent / 100, 0.0
+    for k in range(SKETCH + 1):
+        chance += comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if chance > MISSED:
+            return k
+    return SKETCH
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted hashes of the distinct shingles of the whole text, A-Z in lower case."""
     words = (text or b"").lower().split()
@@ -72,14 +83,14 @@ def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     return own.join(side, own["of"].eqNullSafe(side["doc_id"]) & (own["hash"] == side["text_hash"])).select("cls", "text").dropDuplicates(["cls"])
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union sketch leaves the threshold possible."""
     sa = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"))
     sb = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     both = pairs.join(sa, "a").join(sb, "b").withColumn("union", union)
     common = F.size(F.array_intersect(F.col("union"), F.array_intersect("sa", "sb")))
-    return both.filter(common * SKETCH >= F.size("union") * OVERLAP).select("a", "b")
+    return both.filter(common * SKETCH >= F.size("union") * overlap(percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     retained = classes.select("cls", "n", F.explode("sketch").alias("v"))
     common = retained.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     kept = F.least("n", F.lit(SKETCH))
-    needed = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * percent / 100))
+    needed = F.least(F.lit(overlap(percent)), F.ceil(F.col("n") * percent / 100))
     listed = retained.join(common, "v").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("found"))
     n_keys = F.greatest(F.size("found") - needed + 1, F.lit(0)).cast("int")  # kept - needed + 1 rarest, of which kept - found are nobody else's
     rarest = F.transform(F.slice("found", 1, F.greatest(n_keys, F.lit(1))), lambda x: x["v"])
@@ -203,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     stars = spokes.filter((F.col("cls") != F.col("c.cls")) & sizes_fit(F.col("n"), F.col("c.n"))).select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
     wanted = scratch.put("wanted", index.select("cls").distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls"))
     texts = scratch.put("texts", _texts(docs, wanted, wanted.count() <= BROADCAST_ROWS))
-    tried = scratch.put("tried", _estimated(stars, classes))
+    tried = scratch.put("tried", _estimated(stars, classes, percent))
     links = scratch.put("links", _verified(tried, texts, percent))
 
     # lists that still hold several components
@@ -215,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     other = short.select("v", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp")))
     pairs = short.join(other, "v").filter((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & sizes_fit(F.col("n"), F.col("n2"))).select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    more = scratch.put("more", _verified(_estimated(pairs, classes), texts, percent))
+    more = scratch.put("more", _verified(_estimated(pairs, classes, percent), texts, percent))
 
     # Long lists of one group of near copies have nearly the same members: where lists hang together and one pass over their union is less work, the
     # union is compared, else each list by itself.

@@ -1,6 +1,8 @@
 import collections
+import math
 
 import corpus_pipeline
+from tessella.llm import near
 from tests.llm import fixture as fx
 
 
@@ -23,3 +25,26 @@ def test_stages_take_empty_tables(spark):
 def test_the_whole_run(spark):
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert packed and max(collections.Counter(r["sequence_id"] for r in packed).values()) >= 1
+
+
+def test_near_copies_go_from_a_similarity_of_08(spark):
+    base = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(base), "xx", "src", 0, 1)]
+    for changed in range(4, 14):  # each changed word takes five shingles
+        words = [*base]
+        for k in range(changed):
+            words[20 * k + 10] = f"c{changed}x{k}"
+        rows.append((changed, " ".join(words), "xx", "src", 0, 1))
+    docs = spark.createDataFrame(rows, fx.documents(spark).schema)
+    want = {i for i, _, _, kept in fx.near_rows(fx.pairs(docs), 80) if kept}
+    assert want < {i for i, _, _, kept in fx.near_rows(fx.pairs(docs), 85) if kept}
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+
+
+def test_the_overlap_follows_the_similarity():
+    for percent in (80, 85, 90):
+        least = near.overlap(percent)
+        chance = sum(math.comb(near.SKETCH, k) * (percent / 100) ** k * (1 - percent / 100) ** (near.SKETCH - k) for k in range(least))
+        assert chance <= 1e-12
+    assert near.overlap(80) < near.overlap(85)

@@ -15,6 +15,7 @@ only then. Repeated rows share a class. Columns other than doc_id and text are i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import comb
 
@@ -32,7 +33,7 @@ SKETCH = 48
 MISSED = 1e-12
 SHORT_LIST = 64
 BLOCK_OF_LIST = 256
-BROADCAST_ROWS = 500_000  # of 24 bytes each: at most 12 MB; more rows are joined by shuffle
+BROADCAST_ROWS = 500_000  # of 40 bytes each at most: 20 MB; more rows are joined by shuffle
 
 
 def overlap(percent: int) -> int:
@@ -57,17 +58,18 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 def _features(docs: DataFrame) -> DataFrame:
     def fn(ids: list, texts: list) -> dict:
-        out = {"doc_id": ids, "n_shingles": [], "text_hash": [], "set_key": [], "sketch": []}
+        out = {"doc_id": ids, "n_shingles": [], "text_hash": [], "text_md5": [], "set_key": [], "sketch": []}
         for text in texts:
             own = shingles(text)
             out["n_shingles"].append(len(own))
             out["text_hash"].append(xxhash.xxh3_64_intdigest(text or b"") - (1 << 63))
+            out["text_md5"].append(hashlib.md5(text or b"", usedforsecurity=False).digest())
             out["set_key"].append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             out["sketch"].append(own[:SKETCH].view(np.int64))
         return out
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("text_hash", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-    return docs.mapInArrow(per_row(fn, schema), "doc_id long, n_shingles long, text_hash long, set_key binary, sketch array<long>")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("text_hash", pa.int64()), ("text_md5", pa.binary()), ("set_key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    return docs.mapInArrow(per_row(fn, schema), "doc_id long, n_shingles long, text_hash long, text_md5 binary, set_key binary, sketch array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
@@ -186,6 +188,11 @@ def _block_links(groups: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents are linked where 100 * common >= percent * union."""
+    return _decided(docs, percent).drop("text_md5")
+
+
+def _decided(docs: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` and the MD5 of each text: with the doc_id it names the rows that share a decision."""
     docs, scratch = id_and_text(docs), Scratch(docs.sparkSession, "near")
     features = scratch.put("features", _features(docs))
     classes = scratch.put(
@@ -246,16 +253,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     of = classes.select("cls", "set_key", "least_doc").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of.groupBy("comp").agg(F.min("least_doc").alias("least"))
     named = scratch.put("named", of.join(least, "comp").select("set_key", "least"))
-    out = features.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = features.select("doc_id", "n_shingles", "set_key", "text_md5").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_md5").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduped(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents, all columns, without those that aren't kept; of fully repeated rows one stays."""
-    found = Scratch(docs.sparkSession, "near-kept").put("found", near_duplicates(docs, percent))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    """The documents, all columns, without those that aren't kept; of fully repeated rows one stays. Rows that share a doc_id, or have none, are decided each by its own text."""
+    found = Scratch(docs.sparkSession, "near-kept").put("found", _decided(docs, percent).select("doc_id", "text_md5", "kept"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_md5").alias("gone_md5")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]), "left_anti")
-    repeated = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    md5 = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")))
+    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]) & (md5 == gone["gone_md5"]), "left_anti")
+    repeated = not found.groupBy("doc_id", "text_md5").count().filter("count > 1").isEmpty()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left

@@ -177,6 +177,15 @@ def test_near_duplicate_documents_go(spark, docs):
     assert near.near_duplicates(fx.empty(spark)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_decided_by_their_own_text(spark, docs):
+    copied, alone, other = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(1, copied), (None, copied), (None, alone), (5, copied), (5, other), (7, other + " end"), (None, None), (None, " ")]
+    own = spark.createDataFrame([(i, t, "xx", "src", 0, 0) for i, t in rows], docs.schema)
+    want = [row for row, (_, _, _, kept) in zip(rows, fx.near_rows(rows), strict=True) if kept]
+    assert want == [(1, copied), (None, alone), (5, other), (None, None), (None, " ")]
+    fx.same_rows([(r["doc_id"], r["text"]) for r in near.deduped(own).collect()], want)
+
+
 def test_classifier(spark, docs):
     labels = spark.createDataFrame([(k, None if k == 4 else k % 2, 0) for k in range(1, 60)], "doc_id long, quality int, toxic int")
     got = classifier.scored(docs, labels).collect()

@@ -1,9 +1,10 @@
 """Operator 4: personal data by patterns, and the terms that give it away by co-occurrence.
 
-Patterns find emails, addresses, cards and phones in whole texts. Terms within REACH code points of a value are its context. Over the whole
-corpus a term t discloses a value e if PMI(t; e) >= alpha * IC(e), IC(e) = -log2 p(e), p over documents:
-knowing the term then leaves less than (1 - alpha) of the value's information. Only terms that stand by the value in SUPPORT
-different contexts count, so copies of one text are no evidence. Disclosing terms become spans of kind ``term``;
+Patterns find emails, addresses, cards and phones in whole texts. The terms of a document are the words of its whole text around the
+valid spans. Over the whole corpus a term t discloses a value e if PMI(t; e) >= alpha * IC(e), IC(e) = -log2 p(e), p over documents:
+knowing the term then leaves less than (1 - alpha) of the value's information. A term must be with the value in SUPPORT different
+texts, so copies of one text are no evidence; of a value seen in fewer different texts, in all of them, as no more evidence
+can be had. Every occurrence of a disclosing term, also in documents without the value, becomes a span of kind ``term``;
 sanitising generalises them to a placeholder, and removes them if they disclose everything (alpha 1).
 
 DataFrame functions only. Regular expressions are possessive and start at the borders of runs, so their time is linear in the text.
@@ -15,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD_SPACE, Scratch, id_and_text
-from tessella.llm.quality_rules import let, words
+from tessella.llm.common import Scratch, id_and_text
+from tessella.llm.quality_rules import let
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -30,11 +31,14 @@ PATTERNS = {
 #: What any valid match contains; texts without it are not split.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-REACH = 80
+#: A word from its first letter or digit to its last.
+TERM = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
 SUPPORT = 3
 ALPHA = 0.9
 BROADCAST_ROWS = 200_000  # terms or spans of under 1 KB each; more are joined by shuffle
-_SPAN = "array<struct<start:int,kind:int,end:int,bstart:int,bend:int,value:string,left:string,right:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,bstart:int,bend:int,value:string>>"
+_PARTS = "array<struct<start:int,kind:int,end:int,bstart:int,bend:int,share:double>>"
+_WORDS = "array<struct<term:string,start:int,end:int,bstart:int,bend:int>>"
 
 
 def prefix_sums(values: Column) -> Column:
@@ -77,28 +81,26 @@ def _value(kind: str, match: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.regexp_replace(match, r"[^0-9]++", "") if kind in ("card", "phone") else F.lower(match))
 
 
-def _spans(text: Column, kind: str, pattern: str | None = None, hint: Column | None = None) -> Column:
-    """Valid matches with places in code points and bytes and the text at both sides: matches and what lies between add up to the whole text."""
-    pattern = pattern or PATTERNS[kind]
-    hint = hint if hint is not None else (F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind]))
+def _placed(text: Column, pattern: str, row) -> Column:
+    """``row(match, start, end, bstart, bend)`` of each match, with places in code points and bytes: matches and what lies between add up to the whole text."""
 
     def placed(found: Column, gaps: Column) -> Column:
         lengths = lambda size: prefix_sums(F.flatten(F.transform(found, lambda m, k: F.array(size(F.get(gaps, k)), size(m)))))
+        rows = lambda c, o: F.transform(found, lambda m, k: row(m, F.get(c, 2 * k + 1), F.get(c, 2 * k + 2), F.get(o, 2 * k + 1), F.get(o, 2 * k + 2)))
+        return let(lengths(F.length), lambda c: let(lengths(F.octet_length), lambda o: rows(c, o)))
 
-        def rows(chars: Column, octets: Column) -> Column:
-            made = F.transform(
-                found,
-                lambda m, k: F.struct(
-                    F.get(chars, 2 * k + 1).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), F.get(chars, 2 * k + 2).alias("end"),
-                    F.get(octets, 2 * k + 1).alias("bstart"), F.get(octets, 2 * k + 2).alias("bend"),
-                    F.when(_valid(kind, m), _value(kind, m)).alias("value"), F.right(F.get(gaps, k), F.lit(REACH)).alias("left"), F.left(F.get(gaps, k + 1), F.lit(REACH)).alias("right"),
-                ),
-            )
-            return F.filter(made, lambda s: s["value"].isNotNull())
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: let(F.split(text, pattern, -1), lambda g: placed(f, g)))
 
-        return let(lengths(F.length), lambda c: let(lengths(F.octet_length), lambda o: rows(c, o)))
 
-    whole = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: let(F.split(text, pattern, -1), lambda g: placed(f, g)))
+def _spans(text: Column, kind: str) -> Column:
+    """Valid matches with their places."""
+    hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
+
+    def row(m: Column, start: Column, end: Column, bstart: Column, bend: Column) -> Column:
+        value = F.when(_valid(kind, m), _value(kind, m))
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), bstart.alias("bstart"), bend.alias("bend"), value.alias("value"))
+
+    whole = F.filter(_placed(text, PATTERNS[kind], row), lambda s: s["value"].isNotNull())
     return F.when(hint, whole.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
@@ -113,76 +115,75 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _side(s: Column, left: bool) -> Column:
-    """The whole words of one side of a mention with their places; words at the cut are left out."""
-    side = s["left"] if left else s["right"]
-    cut = F.length(side) >= REACH
-    parts = F.split(F.translate(side, WORD_SPACE, " " * len(WORD_SPACE)), " ")
+def _plain(spans: Column, share: float = 0.0) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["bstart"].alias("bstart"), s["bend"].alias("bend"), F.lit(share).alias("share")))
 
-    def rows(p: Column) -> Column:
-        def at(chars: Column, octets: Column) -> Column:
-            start = s["start"] - F.length(side) if left else s["end"]
-            bstart = s["bstart"] - F.octet_length(side) if left else s["bend"]
-            edge = F.lit(0) if left else F.size(p) - 1
 
-            def word(w: Column, k: Column) -> Column:
-                core = F.regexp_extract(w, r"^[^\p{L}\p{N}]*+(.*?)[^\p{L}\p{N}]*$", 1)
-                head = F.regexp_extract(w, r"^([^\p{L}\p{N}]*+)", 1)
-                a, b = start + F.get(chars, k) + k + F.length(head), bstart + F.get(octets, k) + k + F.octet_length(head)
-                whole = ~(cut & (k == edge)) & (k != (F.size(p) - 1 if left else F.lit(0)))  # the word that touches the value is part of it
-                return F.struct(F.when(whole, F.lower(core)).otherwise(F.lit("")).alias("term"), a.alias("start"), (a + F.length(core)).alias("end"), b.alias("bstart"), (b + F.octet_length(core)).alias("bend"))
+def _around(text: Column, base: Column) -> Column:
+    """The text with blanks for the base spans, which are ASCII: what is left keeps its places."""
+    own = F.coalesce(text, F.lit(""))
+    return F.when(F.size(base) == 0, own).otherwise(_rewritten(own, _plain(base), lambda c: F.repeat(F.lit(" "), (c["b"] - c["a"]).cast("int"))))
+
 
-            return F.transform(p, word)
+def _terms(around: Column) -> Column:
+    """The distinct terms, in lower case."""
+    long = F.filter(F.array_distinct(F.regexp_extract_all(around, F.lit(TERM), F.lit(0))), lambda m: F.length(m) >= 3)
+    return F.array_distinct(F.transform(long, F.lower))
 
-        size = lambda f: prefix_sums(F.transform(p, f))
-        return let(size(F.length), lambda c: let(size(F.octet_length), lambda o: at(c, o)))
 
-    return F.filter(let(parts, rows), lambda w: F.length(w["term"]) >= 3)
+def _occurrences(around: Column) -> Column:
+    """Every term, in lower case, with its places."""
 
+    def row(m: Column, start: Column, end: Column, bstart: Column, bend: Column) -> Column:
+        return F.struct(F.lower(m).alias("term"), start.alias("start"), end.alias("end"), bstart.alias("bstart"), bend.alias("bend"))
 
-def _mentions(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["value"].alias("value"), F.xxhash64(s["left"], s["right"]).alias("context"), F.concat(_side(s, True), _side(s, False)).alias("near")))
+    return F.filter(_placed(around, TERM, row).cast(_WORDS), lambda w: w["end"] - w["start"] >= 3)
 
 
 def _told(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row for each document: a row number, its base spans, and the contexts of its values."""
-    one = id_and_text(docs).select("doc_id", F.inline(F.array(F.struct(base_spans(F.col("text")).alias("base")))))
+    """One row for each document: a row number, its base spans and their values, a hash of the text and its terms."""
+    one = id_and_text(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    one = one.select("row", "doc_id", "text", F.inline(F.array(F.struct(base_spans(F.col("text")).alias("base")))))
     slim = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["bstart"].alias("bstart"), s["bend"].alias("bend")))
-    return scratch.put("told", one.select(F.monotonically_increasing_id().alias("row"), "doc_id", slim.alias("base"), F.when(F.size("base") > 0, _mentions(F.col("base"))).alias("mentions")))
+    values = F.array_distinct(F.transform("base", lambda s: s["value"]))
+    return scratch.put("told", one.select("row", "doc_id", slim.alias("base"), values.alias("values"), F.xxhash64("text").alias("context"), _terms(_around(F.col("text"), F.col("base"))).alias("terms")))
 
 
-def disclosing(docs: DataFrame, told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosing(told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(value, term, share): PMI(term; value) / IC(value) of the pairs that reach alpha."""
-    seen = told.filter("mentions is not null").select("row", F.explode("mentions").alias("m")).select("row", "m.value", "m.context", F.explode("m.near").alias("w")).select("row", "value", "context", "w.term")
     total = told.count()
-    values = told.filter("mentions is not null").select("row", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["value"]))).alias("value")).groupBy("value").agg(F.count("*").alias("of_value"))
-    share = lambda of_term: F.log2(F.col("both") * F.lit(total) / (of_term * F.col("of_value"))) / -F.log2(F.col("of_value") / F.lit(total))
-    pairs = seen.groupBy("value", "term").agg(F.countDistinct("row").alias("both"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support)
-    # a term is in at least as many documents as have it by any value: pairs that fall short even so need no count over the corpus
-    near = seen.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("near"))
-    pairs = pairs.join(values, "value").filter(F.col("of_value") < total).join(near, "term").filter(share(F.col("near")) >= alpha - 1e-9)
-    pairs = scratch.put("pairs", pairs.drop("near"))
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if n_terms:
-        bare = F.transform(words(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.regexp_extract(w, r"^[^\p{L}\p{N}]*+(.*?)[^\p{L}\p{N}]*$", 1))
-        corpus = id_and_text(docs).select(F.explode(F.array_distinct(bare)).alias("term"))
-        corpus = corpus.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, "term")
-    else:
-        corpus = terms
-    counted = corpus.groupBy("term").agg(F.count("*").alias("of_term"))
-    rated = pairs.join(counted, "term").select("value", "term", share(F.col("of_term")).alias("share"))
+    valued = told.filter(F.size("values") > 0)
+    seen = valued.select("row", "context", F.explode("values").alias("value"))
+    values = seen.groupBy("value").agg(F.count("*").alias("of_value"), F.least(F.lit(support), F.countDistinct("context")).alias("needed")).filter(F.col("of_value") < total)
+    values = scratch.put("values", values)
+    values = F.broadcast(values) if values.count() <= BROADCAST_ROWS else values
+    held = seen.join(values, "value").groupBy("row").agg(F.collect_list(F.struct("value", "of_value", "needed")).alias("held"))
+    # of_term: documents with the term; near: those of them that have any value
+    counted = told.select((F.size("values") > 0).cast("long").alias("has"), F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("of_term"), F.sum("has").alias("near"))
+    counted = scratch.put("counted", counted.filter("near > 0"))
+    share = lambda both: F.log2(both * F.lit(total) / (F.col("of_term") * F.col("of_value"))) / -F.log2(F.col("of_value") / F.lit(total))
+    # a common term reaches alpha only with a value that is as common: the others are no pairs
+    least = 8
+    while counted.filter(F.col("of_term") > least).count() > BROADCAST_ROWS:
+        least *= 2
+    common = counted.filter(F.col("of_term") > least)
+    pairs = valued.select("row", "context", "terms").join(held, "row").select("context", "terms", F.inline("held")).select("context", "value", "of_value", "needed", F.explode("terms").alias("term"))
+    pairs = pairs.join(F.broadcast(common), "term", "left").filter(F.col("of_term").isNull() | (share(F.least("near", "of_value")) >= alpha - 1e-9))
+    pairs = pairs.groupBy("value", "term", "of_value", "needed").agg(F.count("*").alias("both"), F.countDistinct("context").alias("contexts")).filter("contexts >= needed")
+    rated = pairs.join(counted, "term").select("value", "term", share(F.col("both")).alias("share"))
     return rated.filter(F.col("share") >= alpha - 1e-9)
 
 
 def _with_terms(docs: DataFrame, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(docs.sparkSession, "pii")
     told = _told(docs, scratch)
-    pairs = scratch.put("disclosing", disclosing(docs, told, scratch, alpha, support))
-    near = told.filter("mentions is not null").select("row", F.explode("mentions").alias("m")).select("row", "m.value", F.explode("m.near").alias("w"))
-    near = near.select("row", "value", "w.*").join(pairs, ["value", "term"])
-    kind = F.lit(len(KINDS)).alias("kind")
-    spans = near.groupBy("row", "start", "end", "bstart", "bend").agg(F.max("share").alias("share")).groupBy("row").agg(F.collect_list(F.struct("start", kind, "end", "bstart", "bend", "share")).alias("terms"))
+    terms = scratch.put("disclosing", disclosing(told, scratch, alpha, support).groupBy("term").agg(F.max("share").alias("share")))
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+    concerned = scratch.put("concerned", told.select("row", "base", F.explode("terms").alias("term")).join(terms, "term").select("row", "base").dropDuplicates(["row"]))
+    texts = id_and_text(docs).select("text", F.monotonically_increasing_id().alias("row"))
+    texts = texts.join(F.broadcast(concerned) if concerned.count() <= BROADCAST_ROWS else concerned, "row")
+    words = texts.select("row", F.inline(_occurrences(_around(F.col("text"), F.col("base"))))).join(terms, "term")
+    spans = words.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "bstart", "bend", "share")).alias("terms"))
     return told, scratch.put("terms", spans)
 
 
@@ -197,8 +198,8 @@ def found(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> Data
     return both.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
-def _rewritten(text: Column, spans: Column) -> Column:
-    """The text with each span replaced; of overlapping spans the first decides, and the cut goes to the end of the last."""
+def _rewritten(text: Column, spans: Column, mark=lambda c: c["mark"]) -> Column:
+    """The text with each span replaced by ``mark(cut)``; of overlapping spans the first decides, and the cut goes to the end of the last."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, "term")])
     blank = F.array().cast("array<struct<a:int,b:int,mark:string>>")
 
@@ -210,7 +211,7 @@ def _rewritten(text: Column, spans: Column) -> Column:
 
     def pieces(cuts: Column, raw: Column) -> Column:
         before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(cuts, k - 1)["b"])
-        kept = F.transform(cuts, lambda c, k: F.concat(F.decode(F.substring(raw, before(k) + 1, c["a"] - before(k)), "UTF-8"), c["mark"]))
+        kept = F.transform(cuts, lambda c, k: F.concat(F.decode(F.substring(raw, before(k) + 1, c["a"] - before(k)), "UTF-8"), mark(c)))
         return F.concat(F.array_join(kept, ""), F.decode(F.substring(raw, F.element_at(cuts, -1)["b"] + 1, F.octet_length(raw)), "UTF-8"))
 
     return let(F.aggregate(spans, blank, merged), lambda c: let(F.encode(text, "UTF-8"), lambda raw: pieces(c, raw)))
@@ -219,17 +220,15 @@ def _rewritten(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """The documents, all columns, with every span replaced; n_chars, if there, follows the text."""
     _, terms = _with_terms(docs, alpha, support)
-    names, share = docs.columns, F.lit(0.0)
-    parts = "array<struct<start:int,kind:int,end:int,bstart:int,bend:int,share:double>>"
-    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["bstart"].alias("bstart"), s["bend"].alias("bend"), share.alias("share")))
+    names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("whole", "text", "row", F.inline(F.array(F.struct(plain(base_spans(F.col("text"))).alias("base")))))
-    n = terms.count()
+    rows = rows.select("whole", "text", "row", F.inline(F.array(F.struct(_plain(base_spans(F.col("text"))).alias("base")))))
+    n = terms.agg(F.sum(F.size("terms"))).first()[0]
     if n:
         rows = rows.join(F.broadcast(terms) if n <= BROADCAST_ROWS else terms, "row", "left")
     else:
-        rows = rows.withColumn("terms", F.lit(None).cast(parts))
-    every = F.sort_array(F.concat("base", F.coalesce("terms", F.array().cast(parts))))
+        rows = rows.withColumn("terms", F.lit(None).cast(_PARTS))
+    every = F.sort_array(F.concat("base", F.coalesce("terms", F.array().cast(_PARTS))))
     new = F.when((F.size("base") == 0) & F.col("terms").isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), every))
     out = rows.select("whole", F.inline(F.array(F.struct(new.alias("new")))))
     held = lambda c: F.col("whole").getField(c)

@@ -127,6 +127,23 @@ def test_pii(spark, docs):
     assert pii.found(fx.empty(spark)).count() == 0
 
 
+def test_terms_disclose_over_whole_documents(spark, docs):
+    common = ["alpha beta gamma delta epsilon zeta eta theta iota kappa"] * 8
+    far = " ".join(common)
+    texts = [f"{far} text{k % 2} Zorblatt, {far} keeper@vault.example.org {far} ZORBLATT." for k in range(6)]  # far away, twice
+    texts += [f"{far} (zorblatt) without the value"]
+    texts += [f"{far} quimby, 1980, 4111 1111 1111 1111 {far}"]  # a value seen once; the year is no card
+    texts += [f"{far} {k} nothing here" for k in range(200)]
+    own = spark.createDataFrame([(k, t, "xx", "src", 0, 0) for k, t in enumerate(texts)], docs.schema)
+    got = {r["doc_id"]: r["spans"] for r in pii.found(own).collect()}
+    told = lambda k: [texts[k][int(a) : int(b)] for kind, a, b in (x.split(":") for x in got[k].split(",") if x) if kind == "term"]
+    assert [told(k) for k in range(6)] == [["Zorblatt", "ZORBLATT"]] * 6
+    assert told(6) == ["zorblatt"] and {"quimby", "1980"} <= set(told(7)) and "alpha" not in told(7)
+    left = {r["doc_id"]: r["text"] for r in pii.sanitised(own).collect()}
+    assert not any(x in left[k].lower() for k in range(8) for x in ("zorblatt", "quimby", "1980", "4111"))
+    assert all(left[k] == texts[k] for k in range(8, len(texts)))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=40))
 def test_prefix_sums(values):

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.errors import InvalidInput
+
+STORED_FROM = 8
+COUNTED_FROM = 64
+
 
 def children(files: DataFrame) -> DataFrame:
     """(parent_file_no, children in order)."""
@@ -15,17 +20,32 @@ def roots(files: DataFrame) -> DataFrame:
     return files.filter("parent_file_no = 0").select("object_no", "file_no")
 
 
-def depths(files: DataFrame, most: int = 64) -> DataFrame:
-    """(object_no, file_no, depth) level by level, breadth first; ends when a level is empty."""
+def _stored(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, in the shared folder if there is one."""
+    context = df.sparkSession.sparkContext._jsc.sc()
+    return df.checkpoint() if context.getCheckpointDir().isDefined() else df.localCheckpoint()
+
+
+def depths(files: DataFrame) -> DataFrame:
+    """(object_no, file_no, depth) level by level, breadth first; ends when a level is empty. Deep levels are stored, so that plans stay short."""
     out = level = files.filter("parent_file_no = 0").select("object_no", "file_no", F.lit(0).alias("depth"))
     edges = files.filter("parent_file_no > 0").select("object_no", "file_no", "parent_file_no")
-    for depth in range(1, most):
+    depth = 0
+    while True:
+        depth += 1
         up = level.select("object_no", F.col("file_no").alias("parent_file_no"))
         level = edges.join(up, ["object_no", "parent_file_no"]).select("object_no", "file_no", F.lit(depth).alias("depth"))
+        if depth >= STORED_FROM:
+            level = _stored(level)
         if level.isEmpty():
-            break
+            return out
+        if depth == COUNTED_FROM:
+            n = files.count()
+        if depth >= COUNTED_FROM and depth >= n:
+            raise InvalidInput("a file is below itself")
         out = out.unionByName(level)
-    return out
+        if depth % COUNTED_FROM == 0:
+            out = _stored(out)
 
 
 def hardlinks(entries: DataFrame) -> DataFrame:

@@ -102,3 +102,11 @@ def test_a_stream_appends_once(spark, tmp_path):
         stream = spark.readStream.schema(files(spark, b"").schema).parquet(incoming)
         container.append_stream(stream, path, 64, 256, str(tmp_path / "check")).awaitTermination()
     assert back(chunks.decoded(container.read(spark, path))) == {1: b"file 0" * 40, 2: b"file 1" * 40}
+
+
+def test_depths_go_to_the_last_level(spark):
+    files = spark.range(1, 68).selectExpr("1L as object_no", "id as file_no", "id - 1 as parent_file_no")
+    assert {(r["file_no"], r["depth"]) for r in trees.depths(files).collect()} == {(k, k - 1) for k in range(1, 68)}
+    twice = files.unionByName(spark.createDataFrame([(1, 2, 3)], files.schema))
+    with pytest.raises(InvalidInput):
+        trees.depths(twice)

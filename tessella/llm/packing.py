@@ -10,6 +10,7 @@ Columns other than doc_id and text are ignored; an empty table gives no pieces."
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -22,7 +23,6 @@ from tessella.llm.tokens import word_ids
 
 CAPACITY = 2048
 PIECES_PER_PARTITION = 60_000
-ROUNDS = 3
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
 
@@ -111,14 +111,14 @@ def _packed(dealt: DataFrame, capacity: int, base: int) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(run, f"{PIECE}, part long, sequence_id long, offset long, bins long, bound long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the bins and the lower bound of the partition in which the piece was packed."""
     scratch = Scratch(docs.sparkSession, "packing")
     cut_up = scratch.put("pieces", pieces(docs, tokenizer, end_id, capacity))
     parts = max(1, -(-cut_up.count() // PIECES_PER_PARTITION))
     deal = lambda df, n, salt: df.withColumn("part", F.pmod(F.xxhash64(F.col("deal"), F.lit(salt)), F.lit(n)))
     now, done = scratch.put("round0", _packed(deal(cut_up, parts, 0), capacity, 0)), []
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):  # each round has half as many partitions
         sums = lambda df: df.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         open_ = sums(now).filter("bins > bound").agg(F.count("*").alias("n"), F.sum("bins").alias("bins")).first()
         if open_["n"] < 2:

@@ -99,6 +99,15 @@ def test_packing(spark, docs, monkeypatch, pieces):
     assert packing.pack(fx.empty(spark), BYTE_PATH, 0).count() == 0
 
 
+def test_packing_goes_on_while_it_saves(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 20)
+    lengths = np.random.default_rng(9).integers(22, 36, 8000)
+    own = spark.createDataFrame([(k, " ".join(["again"] * (int(n) - 1)), "xx", "src", 0, 0) for k, n in enumerate(lengths)], docs.schema).repartition(4)
+    got = packing.pack(own, BYTE_PATH, 0, 100).toPandas()
+    assert sorted(got.doc_id) == list(range(8000)) and got.groupby("sequence_id").length.sum().max() <= 100
+    assert (got.sequence_id // (1 << 56)).max() > 3
+
+
 def test_quality_rules(spark, docs):
     got = quality_rules.judged(docs)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -1,15 +1,14 @@
-"""Operator 5: substring dedup by relative Lempel-Ziv factors against every indexed block.
+"""Operator 5: substring dedup by hashed window exchange between all indexed blocks, in place of relative Lempel-Ziv.
 
 Documents are written once as compressed blocks. Each block is an index of its word windows, and all blocks are
-factored against all others by exchange, never pairwise: a block sends each distinct entry once to the bucket that
+matched against all others by exchange, never pairwise: a block sends each distinct entry once to the bucket that
 the entry's hash names, with the smallest doc_id that holds it, and the bucket sends back a bit for each entry. So a window that a third of all rows
 share costs one entry a block.
 
 Round one exchanges only anchors, the least 5-word hash in each window: a window that two documents share has an
 anchor that two documents share. Round two exchanges the windows with shared anchors, as 64 bits plus 32 more that are checked, and
-learns which began in a document with a smaller doc_id. Greedy factorisation then
-goes from left to right: a factor begins at a matched window, is extended while windows match, and its words
-are the duplicate span; all other words are literals. A factor is thus at least WINDOW words long and whole at both borders.
+learns which began in a document with a smaller doc_id. A factor is a run of words in matched windows, at least WINDOW words long, without
+a source position; all other words are literals. No words are compared: the 96 bits decide.
 
 Nulls and empty texts have no words (the digest of an empty string). A row with a null doc_id is left as it is and is
 no source. Repeated rows with one doc_id don't remove each other's words. In ``dedupe`` only doc_id and text are

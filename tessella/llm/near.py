@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, id_and_text, per_row
-from tessella.llm.substring import _B1, _hash, rolled
+from tessella.llm.common import Scratch, id_and_text
+from tessella.llm.wordhash import buffers, hashes, rolled, runs
 
 SHINGLE = 5
 SKETCH = 48
@@ -46,30 +46,45 @@ def overlap(percent: int) -> int:
     return SKETCH
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of the whole text, A-Z in lower case."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    flat = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
-    got = np.unique(rolled(flat, min(SHINGLE, len(words)), _B1))
-    return got if len(words) >= SHINGLE else got ^ np.uint64(len(words))
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each whole text, A-Z in lower case, the sorted hashes of its distinct shingles."""
+    for a, b in runs(buffers(texts)[1]):
+        flat, sizes = hashes(*buffers(texts.slice(a, b - a)), lower=True)
+        windows, first = rolled(flat, SHINGLE, _ROLL), 0
+        for n in sizes.tolist():
+            if n >= SHINGLE:
+                yield np.unique(windows[first : first + n - SHINGLE + 1])
+            else:
+                yield rolled(flat[first : first + n], n, _ROLL) ^ np.uint64(n) if n else np.zeros(0, np.uint64)
+            first += n
+
+
+def _raw(texts: pa.Array) -> Iterator[bytes]:
+    """The bytes of each text, a few MB at a time."""
+    for a, b in runs(buffers(texts)[1]):
+        yield from (x or b"" for x in texts.slice(a, b - a).cast(pa.binary()).to_pylist())
+
+
+def _text_hashes(texts: pa.Array) -> pa.Array:
+    return pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in _raw(texts)], pa.int64())
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    def fn(ids: list, texts: list) -> dict:
-        out = {"doc_id": ids, "n_shingles": [], "text_hash": [], "text_md5": [], "set_key": [], "sketch": []}
-        for text in texts:
-            own = shingles(text)
-            out["n_shingles"].append(len(own))
-            out["text_hash"].append(xxhash.xxh3_64_intdigest(text or b"") - (1 << 63))
-            out["text_md5"].append(hashlib.md5(text or b"", usedforsecurity=False).digest())
-            out["set_key"].append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-            out["sketch"].append(own[:SKETCH].view(np.int64))
-        return out
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys, sketches = [], [], []
+            for own in shingle_sets(batch.column(1)):
+                n.append(len(own))
+                keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                sketches.append(own[:SKETCH].view(np.int64).copy())
+            md5 = [hashlib.md5(x, usedforsecurity=False).digest() for x in _raw(batch.column(1))]
+            columns = [batch.column(0), pa.array(n, pa.int64()), _text_hashes(batch.column(1)), pa.array(md5, pa.binary()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "text_hash", "text_md5", "set_key", "sketch"])
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("text_hash", pa.int64()), ("text_md5", pa.binary()), ("set_key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-    return docs.mapInArrow(per_row(fn, schema), "doc_id long, n_shingles long, text_hash long, text_md5 binary, set_key binary, sketch array<long>")
+    return docs.mapInArrow(fn, "doc_id long, n_shingles long, text_hash long, text_md5 binary, set_key binary, sketch array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
@@ -77,8 +92,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in raw], pa.int64())], names=["of", "text", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _text_hashes(batch.column(1))], names=["of", "text", "hash"])
 
     own = docs.mapInArrow(fn, "of long, text string, hash long")
     side = F.broadcast(wanted) if few else wanted
@@ -99,21 +113,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Exact Jaccard on full sets."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-
-        def own(cls: int, text: bytes) -> np.ndarray:
-            if cls not in held:
-                if len(held) >= 256:
-                    held.clear()
-                held[cls] = shingles(text)
-            return held[cls]
-
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            sa, sb = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("ta", "tb"))
             links = []
-            for row in zip(a, b, sa, sb, strict=True):
-                x, y = own(row[0], row[2]), own(row[1], row[3])
+            for x, y in zip(shingle_sets(batch.column("ta")), shingle_sets(batch.column("tb")), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 links.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(links, pa.bool_()))
@@ -140,12 +142,13 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 COLUMNS = 4096
+ENTRIES = 1 << 20
 
 
 def _sets(texts: DataFrame) -> DataFrame:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles(x).view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            own = [x.view(np.int64) for x in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(own, pa.list_(pa.int64()))], names=["cls", "set"])
 
     return texts.select("cls", "text").mapInArrow(fn, "cls long, set array<long>")
@@ -158,21 +161,24 @@ def _block_links(groups: DataFrame, percent: int) -> DataFrame:
     def fn(table: pa.Table) -> pa.Table:
         cls, comp, n, own = (table.column(c).to_numpy() for c in ("cls", "comp", "n", "own"))
         x, y = (table.column(c)[0].as_py() for c in "xy")
-        sets = [np.asarray(s, np.int64) for s in table.column("set").to_pylist()]
-        rows = np.repeat(np.arange(len(cls)), [len(s) for s in sets])
-        values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        column = np.cumsum(times > 1) - 1  # what only one document here has is in no intersection
-        common = times[at] > 1
-        rows, at = rows[common], column[at[common]]
-        order = np.argsort(at, kind="stable")
-        rows, at = rows[order], at[order]
+        sets = table.column("set").combine_chunks()
+        values, rows = sets.flatten().to_numpy(), np.repeat(np.arange(len(cls), dtype=np.int32), np.diff(sets.offsets.to_numpy()))
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         shared = np.zeros((len(left), len(right)), np.float32)
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            a, b = np.searchsorted(at, [first, first + COLUMNS])
-            held = np.zeros((len(cls), COLUMNS), np.float32)
-            held[rows[a:b], at[a:b] - first] = 1
-            shared += held[left] @ held[right].T
+        slices = -(-len(values) // ENTRIES)  # by value, so that the tables below stay small however long the texts are
+        for part in range(slices):
+            here = np.flatnonzero(values.view(np.uint64) % np.uint64(slices) == part)
+            _, at, times = np.unique(values[here], return_inverse=True, return_counts=True)
+            column = np.cumsum(times > 1) - 1  # what only one document here has is in no intersection
+            common = times[at] > 1
+            row, at = rows[here[common]], column[at[common]]
+            order = np.argsort(at, kind="stable")
+            row, at = row[order], at[order]
+            for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+                a, b = np.searchsorted(at, [first, first + COLUMNS])
+                held = np.zeros((len(cls), COLUMNS), np.float32)
+                held[row[a:b], at[a:b] - first] = 1
+                shared += held[left] @ held[right].T
         size = n.astype(np.float64)
         l, r = np.nonzero((100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)) & (comp[left][:, None] != comp[right][None, :]))
         a, b = left[l], right[r]
@@ -188,7 +194,7 @@ def _block_links(groups: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents are linked where 100 * common >= percent * union."""
-    return _decided(docs, percent).drop("text_md5")
+    return _decided(docs, percent).drop("text_md5", "nameless")
 
 
 def _decided(docs: DataFrame, percent: int) -> DataFrame:
@@ -252,16 +258,20 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
 
     of = classes.select("cls", "set_key", "least_doc").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of.groupBy("comp").agg(F.min("least_doc").alias("least"))
-    named = scratch.put("named", of.join(least, "comp").select("set_key", "least"))
+    named = scratch.put("named", of.join(least, "comp").select("set_key", "least", F.when(F.col("least").isNull(), F.col("comp")).alias("nameless")))
     out = features.select("doc_id", "n_shingles", "set_key", "text_md5").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_md5").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_md5", "nameless").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduped(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents, all columns, without those that aren't kept; of fully repeated rows one stays. Rows that share a doc_id, or have none, are decided each by its own text."""
-    found = Scratch(docs.sparkSession, "near-kept").put("found", _decided(docs, percent).select("doc_id", "text_md5", "kept"))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_md5").alias("gone_md5")).distinct()
+    """The documents, all columns, one of each group. Rows that share a doc_id, or have none, are decided each by its own text; of rows with
+    equal doc_id and text one stays, whatever their other columns; of a group without any doc_id the text with the least MD5 stays."""
+    found = Scratch(docs.sparkSession, "near-kept").put("found", _decided(docs, percent).select("doc_id", "text_md5", "kept", "nameless"))
+    nameless = found.filter("nameless is not null").select("nameless", "text_md5").distinct()
+    chosen = nameless.groupBy("nameless").agg(F.min("text_md5").alias("chosen"))
+    others = nameless.join(chosen, "nameless").filter("text_md5 <> chosen").select(F.lit(None).cast("long").alias("doc_id"), "text_md5")
+    gone = found.filter(~F.col("kept")).select("doc_id", "text_md5").unionByName(others).select(F.col("doc_id").alias("gone"), F.col("text_md5").alias("gone_md5")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     md5 = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")))
     left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]) & (md5 == gone["gone_md5"]), "left_anti")

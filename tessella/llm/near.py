@@ -244,15 +244,17 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
     # Long lists of one group of near copies have nearly the same members: where lists hang together and one pass over their union is less work, the
     # union is compared, else each list by itself.
     long = scratch.put("long", rest.filter(F.col("held") > SHORT_LIST))
-    firsts = long.groupBy("v").agg(F.min("cls").alias("first"))
-    unions = components(long.join(firsts, "v").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct(), scratch, "unions")
-    member = long.join(unions.select("cls", F.col("comp").alias("union")), "cls")
-    in_union = member.select("union", "cls", "n", "comp").distinct()
-    size = in_union.groupBy("union").agg(F.count("*").cast("double").alias("members"))
-    work = member.groupBy("union", "v").agg(F.count("*").cast("double").alias("k")).groupBy("union").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
-    sizes = scratch.put("sizes", size.join(work, "union").withColumn("whole", F.col("members") * F.col("members") <= F.col("work")))
+    lists = scratch.put("lists", long.groupBy("v").agg(F.min("cls").alias("first"), F.max("held").cast("double").alias("held")))
+    unions = components(long.join(lists.select("v", "first"), "v").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct(), scratch, "unions")
+    unions = unions.select("cls", F.col("comp").alias("union"))
+    in_union = long.select("cls", "n", "comp").distinct().join(unions, "cls")
+    lists = lists.join(unions.withColumnRenamed("cls", "first"), "first")
+    work = lists.groupBy("union").agg(F.sum(F.col("held") * F.col("held")).alias("work"))
+    sizes = in_union.groupBy("union").agg(F.count("*").cast("double").alias("members")).join(work, "union")
+    sizes = scratch.put("sizes", sizes.withColumn("whole", F.col("members") * F.col("members") <= F.col("work")))
     whole = in_union.join(sizes.filter("whole"), "union").select(F.concat(F.lit("u"), F.col("union")).alias("grp"), "cls", "n", "comp", F.col("members").alias("held"))
-    apart = member.join(sizes.filter("not whole"), "union").select(F.concat(F.lit("v"), F.col("v")).alias("grp"), "cls", "n", "comp", F.col("held").cast("double").alias("held"))
+    alone = lists.join(sizes.filter("not whole"), "union").select("v")
+    apart = long.join(alone, "v").select(F.concat(F.lit("v"), F.col("v")).alias("grp"), "cls", "n", "comp", F.col("held").cast("double").alias("held"))
     blocked = scratch.put("blocked", _block_links(whole.unionByName(apart).join(_sets(texts), "cls"), percent))
     labels = components(links.unionByName(more).unionByName(blocked), scratch, "second")
 

@@ -48,12 +48,25 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.get(name, df)
 
+    def put_by(self, key: str, buckets: int, name: str, df: DataFrame) -> DataFrame:
+        """A table in buckets by ``key``, so that joins by it don't move its rows."""
+        table = f"scratch_{uuid.uuid4().hex}"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").option("path", self.path(name)).saveAsTable(table)
+        atexit.register(self._forget, table)
+        return self.spark.table(table)
+
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         self._delete(self.path(name))
 
+    def _forget(self, table: str) -> None:
+        try:
+            self.spark.sql(f"drop table if exists {table}")
+        except Exception:  # the session may have ended before
+            pass
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, id_and_text
-from tessella.llm.tokens import word_ids
+from tessella.llm.tokens import forget, word_ids
+from tessella.llm.wordhash import buffers, runs
 
 CAPACITY = 2048
 PIECES_PER_PARTITION = 60_000
@@ -84,13 +85,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     def run(batches):
         for batch in batches:
             words, out = word_ids(tokenizer, 4), {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                raw = memoryview(words.ids(text) + end)
-                for k, (a, n) in enumerate(cut(len(raw) // 4, capacity)):
-                    for key, value in zip(out, (doc_id, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)])), strict=True):
-                        out[key].append(value)
+            for a, b in runs(buffers(batch.column(1))[1]):
+                part = batch.slice(a, b - a)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    raw = memoryview(words.ids(text) + end)
+                    for k, (first, n) in enumerate(cut(len(raw) // 4, capacity)):
+                        for key, value in zip(out, (doc_id, k, first, n, zlib.crc32(raw[4 * first : 4 * (first + n)])), strict=True):
+                            out[key].append(value)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+        forget()
 
     made = id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return made.withColumn("deal", F.monotonically_increasing_id())

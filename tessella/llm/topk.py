@@ -5,7 +5,7 @@ lists, from the top where its component is positive and from the bottom where it
 time, and stops when even a vector with the last seen value in every dimension could not reach its kth result. Every query
 meets every block; the blocks' results are merged by rank.
 
-Components become floor(1024 * x). Null vectors and those with null or non-finite components take no part, and only vectors
+Components become floor(1024 * x), and scores are exact integers; what is beyond 64 bits becomes the nearest long. Null vectors and those with null or non-finite components take no part, and only vectors
 of one length are compared. Ties go to the smaller vec_id. A row is no candidate for itself, but a repeated row with
 its vec_id is one. Rows with a null vec_id take no part. Other columns are ignored."""
 
@@ -24,7 +24,8 @@ from tessella.llm.common import Scratch
 BLOCK = 4096
 QUERIES_PER_SLOT = 256
 FIRST_DEPTH = 64
-BROADCAST_QUERIES = 50_000  # vectors; more are joined by shuffle
+BROADCAST_BYTES = 16 << 20  # of query vectors; more are joined by shuffle
+LONG = (1 << 63) - 1
 
 
 def _pack(uid: np.ndarray, ids: np.ndarray, x: np.ndarray) -> bytes:
@@ -49,7 +50,8 @@ def _quantised(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
         at = np.asarray(own)
         x = np.asarray(lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(own), d)
         fine = np.isfinite(x).all(1)
-        yield uid[at[fine]], ids[at[fine]], np.floor(1024 * x[fine]).astype(np.int64)
+        whole = np.floor(1024 * x[fine])
+        yield uid[at[fine]], ids[at[fine]], np.where(whole >= 2.0**63, LONG, np.where(whole < -(2.0**63), -LONG - 1, np.clip(whole, -(2.0**63), 2.0**63 - 1024).astype(np.int64)))
 
 
 class Lists:
@@ -58,15 +60,24 @@ class Lists:
     def __init__(self, uid: np.ndarray, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")  # rows by vec_id: ties of a score then fall to the smaller
         self.uid, self.ids, self.x = uid[order], ids[order], x[order]
-        exact = self.x.size == 0 or np.abs(self.x).max() < 1 << 20
-        self.y = self.x.astype(np.float64) if exact else self.x
+        self.most = max(abs(int(self.x.max(initial=0))), abs(int(self.x.min(initial=0))))
+        self.as_kind: dict = {}
         self.by = np.argsort(self.x, axis=0, kind="stable").T.copy()
 
+    def _exact(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors and the query in the fastest numbers that hold every product and every sum of them exactly."""
+        bound = max(1, self.x.shape[1]) * max(1, self.most) * max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0))))
+        kind = np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 62 else object
+        if kind not in self.as_kind:
+            self.as_kind[kind] = self.x.astype(kind)
+        return self.as_kind[kind], q.astype(kind)
+
     def top(self, uid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the k best rows but the query's own."""
         n, used = len(self.ids), np.flatnonzero(q)
         seen = self.uid == uid
-        q_scored = q.astype(self.y.dtype)
+        y, q_scored = self._exact(q)
+        longs = lambda s: s.astype(np.int64) if y.dtype != object else np.asarray([min(max(v, -LONG - 1), LONG) for v in s.tolist()], np.int64)
         rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(used):
             rows = np.flatnonzero(~seen)[:k]
@@ -81,11 +92,11 @@ class Lists:
             fresh &= ~seen
             seen |= fresh
             new = np.flatnonzero(fresh)
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, (self.y[new] @ q_scored).astype(np.int64)])
-            best = np.lexsort((rows, -scores))[:k]
+            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, longs(y[new] @ q_scored)])
+            best = np.lexsort((rows, ~scores))[:k]
             rows, scores = rows[best], scores[best]
             edge = np.where(down, n - to, to - 1)
-            bound = int((q[used] * self.x[self.by[used, edge], used]).sum())
+            bound = min(int((q_scored[used] * y[self.by[used, edge], used]).sum()), LONG)
             if len(rows) == k and scores[-1] > bound:
                 break
             at, depth = to, depth * 2
@@ -98,7 +109,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     told = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     told = scratch.put("vectors", told.filter("vec_id is not null and embedding is not null").withColumn("uid", F.monotonically_increasing_id()))
     asked = told.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    n = asked.count()
+    n, n_bytes = asked.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("embedding") + 16), F.lit(0))).first()
     slots = max(1, -(-n // QUERIES_PER_SLOT))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +124,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     queries = asked.withColumn("slot", F.pmod(F.xxhash64("uid"), F.lit(slots))).groupBy("slot").applyInArrow(slot, "slot long, queries binary")
     dealt = told.mapInArrow(blocks, "block binary").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    met = dealt.join(F.broadcast(queries) if n <= BROADCAST_QUERIES else queries, "slot")
+    met = dealt.join(F.broadcast(queries) if n_bytes <= BROADCAST_BYTES else queries, "slot")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, lists = b"", None

@@ -173,6 +173,44 @@ def test_substring_dedup(spark, docs):
     assert substring.dedupe(fx.empty(spark)).count() == 0
 
 
+def expanded(rows, factors):
+    """Each factor's words at its source, which must be those of the document."""
+    words = {i: fx.WORD.findall(t or "") for i, t in rows if i is not None}
+    for r in factors:
+        assert r["source_doc"] < r["doc_id"] and r["length"] >= substring.WINDOW
+        assert words[r["doc_id"]][r["first"] : r["first"] + r["length"]] == words[r["source_doc"]][r["source_first"] : r["source_first"] + r["length"]]
+    return {(r["doc_id"], k) for r in factors for k in range(r["first"], r["first"] + r["length"])}
+
+
+@pytest.mark.parametrize("block,segments", [(4 << 20, 1000), (3000, 2)])
+def test_factors_expand_to_the_text(spark, docs, monkeypatch, block, segments):
+    monkeypatch.setattr(substring, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring, "SEGMENTS", segments)
+    own = docs.dropDuplicates(["doc_id"])
+    covered = expanded(fx.pairs(own), substring.factors(own).collect())
+    for i, _, gone, _ in fx.dedup_rows(fx.pairs(own)):
+        assert sum(d == i for d, _ in covered) == gone
+    fx.same_rows([tuple(r) for r in substring.dedupe(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()], fx.dedup_rows(fx.pairs(docs)))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=60), min_size=1, max_size=4), st.lists(st.sampled_from("ab"), max_size=60))
+def test_greedy_parse_covers_all_windows(texts, own):
+    import pyarrow as pa
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [" ".join(t) for t in texts]})
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    found = substring.Reference(substring.Block(zstandard.compress(sink.getvalue().to_pybytes()))).parse([w.encode() for w in own])
+    n, held = substring.WINDOW, {tuple(t[a : a + substring.WINDOW]) for t in texts for a in range(len(t) - substring.WINDOW + 1)}
+    assert {k for a, size, _, _ in found for k in range(a, a + size)} == {k for a in range(len(own) - n + 1) if tuple(own[a : a + n]) in held for k in range(a, a + n)}
+    for a, size, doc, at in found:
+        assert own[a : a + size] == texts[doc][at : at + size]
+        assert a + size == len(own) or at + size == len(texts[doc]) or own[a + size] != texts[doc][at + size]
+
+
 def test_secrets(spark, docs):
     got = secrets.scan(docs)
     fx.same_rows([tuple(r) for r in got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()], fx.span_rows(fx.pairs(docs), fx.SECRETS))
@@ -212,6 +250,14 @@ def test_rows_that_share_an_id_or_have_none_are_decided_by_their_own_text(spark,
     fx.same_rows([(r["doc_id"], r["text"]) for r in near.deduped(own).collect()], want)
 
 
+def test_of_a_group_without_ids_one_stays(spark, docs):
+    alone = " ".join(f"b{k}" for k in range(80))
+    rows = [(None, alone), (None, alone + " end"), (None, alone), (3, "other words of no interest at all")]
+    own = spark.createDataFrame([(i, t, "xx", "src", 0, 0) for i, t in rows], docs.schema)
+    left = fx.pairs(near.deduped(own))
+    assert len(left) == 2 and (3, rows[3][1]) in left and set(left) <= set(rows)
+
+
 def test_classifier(spark, docs):
     labels = spark.createDataFrame([(k, None if k == 4 else k % 2, 0) for k in range(1, 60)], "doc_id long, quality int, toxic int")
     got = classifier.scored(docs, labels).collect()
@@ -246,6 +292,18 @@ def test_top_k(spark, monkeypatch, block):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    large = 2.0**40
+    rows = [(0, [large + 1 / 1024, 1.0]), (1, [1023 / 1024, 1 / 1024]), (2, [1022 / 1024, 1024.0 + 1 / 1024]), (3, [1023 / 1024, 2 / 1024]), (4, [-(2.0**70), 0.0]), (5, [2.0**70, 2.0**70]), (100, [2.0**60, -(2.0**60)])]
+    limit = 2**63 - 1
+    whole = {i: [max(-limit - 1, min(limit, int(np.floor(1024 * np.float64(c))))) for c in v] for i, v in rows}
+    want = []
+    for q in (0, 100):
+        scored = sorted((-max(-limit - 1, min(limit, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    fx.same_rows([tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()], want)
+
+
 def test_bpe(spark, docs):
     got = bpe.encode_decode(docs, WORD_PATH)
     whole, expected = Tokenizer.from_file(WORD_PATH), []

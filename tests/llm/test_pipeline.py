@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessella.llm import near
+from tessella.llm.common import Scratch
 from tessella.llm.tokens import BYTE_FILE
 from tests.llm import fixture as fx
 
@@ -61,7 +62,8 @@ def plain_quality(rows):
         t = t or ""
         kinds = [unicodedata.category(c) for c in t]
         letters, upper, lines = sum(k[0] == "L" for k in kinds), kinds.count("Lu"), sum(bool(fx.WORD.search(x)) for x in t.split("\n"))
-        few = n >= 10 and 4 * len(set(fx.WORD.findall(t))) < n and n < 2000
+        distinct = len(set(fx.WORD.findall(t)))
+        few = n >= 10 and 4 * distinct < n and distinct * distinct < 16 * n
         fails = base or 10 * symbols > n or (lines >= 5 and 100 * dup > 30 * lines) or (upper > 20 and 2 * upper > letters) or 5 * t.count("!") > n or chars > 20 * n or few or 2 * letters < chars
         if not fails:
             yield i, t
@@ -105,7 +107,7 @@ def plain_sanitised(rows):
 
 def test_stages_against_plain_versions(spark):
     stages, docs = dict(corpus_pipeline.STAGES), fx.documents(spark).cache()
-    step = lambda name: stages[name](spark, docs, "").localCheckpoint()
+    step = lambda name: Scratch(spark, "test").put(name, stages[name](spark, docs, ""))
     before, docs = fx.pairs(docs), step("quality_rules")
     fx.same_rows(fx.pairs(docs), plain_quality(before))
     before, docs = fx.pairs(docs), step("near_dedup")

@@ -1,4 +1,8 @@
-"""The corpus pipeline: rejected documents go, near duplicates go, repeated passages go, personal data go, the rest is packed."""
+"""The corpus pipeline: rejected documents go, near duplicates go, repeated passages go, personal data go, the rest is packed.
+
+Every stage takes and, but for the last, returns the columns of its input, whatever their names. A null text has no words, so the quality rules
+reject it, as they do an empty one; a null doc_id stays null and its row is decided by its text. Of rows with equal doc_id and text
+one stays; other ties go to the smallest doc_id. An empty table stays empty through all stages. Texts are taken whole, however long."""
 
 from __future__ import annotations
 
@@ -46,8 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written as Parquet to the shared folder and read again by the next."""
-    scratch, docs = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents")
+    """Each stage's result is written as Parquet to the shared folder and read again by the next; then what the stage and the one before it wrote goes."""
+    scratch, docs, last = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        opened = len(Scratch.opened)
         docs = scratch.put(name, stage(spark, docs, sf_dir))
+        Scratch.drop_since(opened)
+        if last:
+            scratch.drop(last)
+        last = name
     return docs

@@ -34,10 +34,13 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder; they cut lineage and survive a lost executor.
 
-    ``drop`` frees one early; the rest go when the driver ends."""
+    ``drop`` frees one early, ``drop_since`` all of those that were opened since then; the rest go when the driver ends."""
+
+    opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self.opened.append(self)
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
@@ -58,6 +61,13 @@ class Scratch:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    @classmethod
+    def drop_since(cls, n: int) -> None:
+        """What was opened after the first ``n``: for results that have been written elsewhere."""
+        for own in cls.opened[n:]:
+            own._delete(own.root)
+        del cls.opened[n:]
+
     def drop(self, name: str) -> None:
         self._delete(self.path(name))
 

@@ -35,10 +35,9 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
 SUPPORT = 3
 ALPHA = 0.9
-BROADCAST_ROWS = 200_000  # terms or spans of under 1 KB each; more are joined by shuffle
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20  # of terms or values; more are joined by shuffle
 _SPAN = "array<struct<start:int,kind:int,end:int,bstart:int,bend:int,value:string>>"
 _PARTS = "array<struct<start:int,kind:int,end:int,bstart:int,bend:int,share:double>>"
-_WORDS = "array<struct<term:string,start:int,end:int,bstart:int,bend:int>>"
 
 
 def prefix_sums(values: Column) -> Column:
@@ -81,7 +80,7 @@ def _value(kind: str, match: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.regexp_replace(match, r"[^0-9]++", "") if kind in ("card", "phone") else F.lower(match))
 
 
-def _placed(text: Column, pattern: str, row) -> Column:
+def _placed(text: Column, pattern: str | Column, row) -> Column:
     """``row(match, start, end, bstart, bend)`` of each match, with places in code points and bytes: matches and what lies between add up to the whole text."""
 
     def placed(found: Column, gaps: Column) -> Column:
@@ -89,7 +88,8 @@ def _placed(text: Column, pattern: str, row) -> Column:
         rows = lambda c, o: F.transform(found, lambda m, k: row(m, F.get(c, 2 * k + 1), F.get(c, 2 * k + 2), F.get(o, 2 * k + 1), F.get(o, 2 * k + 2)))
         return let(lengths(F.length), lambda c: let(lengths(F.octet_length), lambda o: rows(c, o)))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: let(F.split(text, pattern, -1), lambda g: placed(f, g)))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda f: let(F.split(text, pattern, -1), lambda g: placed(f, g)))
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -131,24 +131,51 @@ def _terms(around: Column) -> Column:
     return F.array_distinct(F.transform(long, F.lower))
 
 
-def _occurrences(around: Column) -> Column:
-    """Every term, in lower case, with its places."""
+def _occurrences(around: Column, hits: Column) -> Column:
+    """Every occurrence of the ``hits`` (term, share) with its places. One expression, of the spellings that this text has, finds them: a word
+    with such a spelling between its first and its last letter or digit."""
+    spelled = F.filter(F.array_distinct(F.regexp_extract_all(around, F.lit(TERM), F.lit(0))), lambda m: F.array_contains(F.transform(hits, lambda h: h["term"]), F.lower(m)))
+    quoted = F.array_join(F.transform(spelled, lambda m: F.regexp_replace(m, r"([^\p{L}\p{N}])", r"\\$1")), "|")
+    pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]*+(?:"), quoted, F.lit(r")(?![^\x20\x09-\x0D]*[\p{L}\p{N}])"))
 
     def row(m: Column, start: Column, end: Column, bstart: Column, bend: Column) -> Column:
-        return F.struct(F.lower(m).alias("term"), start.alias("start"), end.alias("end"), bstart.alias("bstart"), bend.alias("bend"))
+        lead = F.regexp_extract(m, r"^[^\p{L}\p{N}]*+", 0)
+        share = let(F.lower(F.substring(m, F.length(lead) + 1, F.length(m))), lambda t: F.get(F.filter(hits, lambda h: h["term"] == t), F.lit(0))["share"])
+        return F.struct((start + F.length(lead)).alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"), (bstart + F.octet_length(lead)).alias("bstart"), bend.alias("bend"), share.alias("share"))
 
-    return F.filter(_placed(around, TERM, row).cast(_WORDS), lambda w: w["end"] - w["start"] >= 3)
+    return let(pattern, lambda p: _placed(around, p, row)).cast(_PARTS)
 
 
-def _told(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row and, as ``whole``, all columns: written once, so that every later plan sees the same row numbers."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    return scratch.put("rows", docs.select(whole).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _text() -> Column:
+    return F.col("whole").getField("text").cast("string")
+
+
+def _told(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """One row for each document: a row number, its base spans and their values, a hash of the text and its terms."""
-    one = id_and_text(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    one = rows.select("row", F.col("whole").getField("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
     one = one.select("row", "doc_id", "text", F.inline(F.array(F.struct(base_spans(F.col("text")).alias("base")))))
     slim = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["bstart"].alias("bstart"), s["bend"].alias("bend")))
     values = F.array_distinct(F.transform("base", lambda s: s["value"]))
     return scratch.put("told", one.select("row", "doc_id", slim.alias("base"), values.alias("values"), F.xxhash64("text").alias("context"), _terms(_around(F.col("text"), F.col("base"))).alias("terms")))
 
 
+def _fits(df: DataFrame, column: str) -> bool:
+    """Small enough to broadcast, by rows and by bytes."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column) + 40), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def _few(df: DataFrame, entries: Column) -> bool:
+    """The same for rows of ``entries`` spans or terms, of 80 bytes each in the mean."""
+    return df.agg(F.coalesce(F.sum(40 + 80 * entries), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
 def disclosing(told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(value, term, share): PMI(term; value) / IC(value) of the pairs that reach alpha."""
     total = told.count()
@@ -156,7 +183,7 @@ def disclosing(told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support:
     seen = valued.select("row", "context", F.explode("values").alias("value"))
     values = seen.groupBy("value").agg(F.count("*").alias("of_value"), F.least(F.lit(support), F.countDistinct("context")).alias("needed")).filter(F.col("of_value") < total)
     values = scratch.put("values", values)
-    values = F.broadcast(values) if values.count() <= BROADCAST_ROWS else values
+    values = F.broadcast(values) if _fits(values, "value") else values
     held = seen.join(values, "value").groupBy("row").agg(F.collect_list(F.struct("value", "of_value", "needed")).alias("held"))
     # of_term: documents with the term; near: those of them that have any value
     counted = told.select((F.size("values") > 0).cast("long").alias("has"), F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("of_term"), F.sum("has").alias("near"))
@@ -164,7 +191,7 @@ def disclosing(told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support:
     share = lambda both: F.log2(both * F.lit(total) / (F.col("of_term") * F.col("of_value"))) / -F.log2(F.col("of_value") / F.lit(total))
     # a common term reaches alpha only with a value that is as common: the others are no pairs
     least = 8
-    while counted.filter(F.col("of_term") > least).count() > BROADCAST_ROWS:
+    while not _fits(counted.filter(F.col("of_term") > least), "term"):
         least *= 2
     common = counted.filter(F.col("of_term") > least)
     pairs = valued.select("row", "context", "terms").join(held, "row").select("context", "terms", F.inline("held")).select("context", "value", "of_value", "needed", F.explode("terms").alias("term"))
@@ -174,22 +201,21 @@ def disclosing(told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support:
     return rated.filter(F.col("share") >= alpha - 1e-9)
 
 
-def _with_terms(docs: DataFrame, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
-    scratch = Scratch(docs.sparkSession, "pii")
-    told = _told(docs, scratch)
+def _with_terms(rows: DataFrame, scratch: Scratch, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
+    told = _told(rows, scratch)
     terms = scratch.put("disclosing", disclosing(told, scratch, alpha, support).groupBy("term").agg(F.max("share").alias("share")))
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    concerned = scratch.put("concerned", told.select("row", "base", F.explode("terms").alias("term")).join(terms, "term").select("row", "base").dropDuplicates(["row"]))
-    texts = id_and_text(docs).select("text", F.monotonically_increasing_id().alias("row"))
-    texts = texts.join(F.broadcast(concerned) if concerned.count() <= BROADCAST_ROWS else concerned, "row")
-    words = texts.select("row", F.inline(_occurrences(_around(F.col("text"), F.col("base"))))).join(terms, "term")
-    spans = words.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "bstart", "bend", "share")).alias("terms"))
+    terms = F.broadcast(terms) if _fits(terms, "term") else terms
+    concerned = told.select("row", "base", F.explode("terms").alias("term")).join(terms, "term").groupBy("row").agg(F.first("base").alias("base"), F.collect_list(F.struct("term", "share")).alias("hits"))
+    concerned = scratch.put("concerned", concerned)
+    texts = rows.select(_text().alias("text"), "row").join(F.broadcast(concerned) if _few(concerned, F.size("base") + F.size("hits")) else concerned, "row")
+    spans = texts.select("row", F.inline(F.array(F.struct(_occurrences(_around(F.col("text"), F.col("base")), F.col("hits")).alias("terms")))))
     return told, scratch.put("terms", spans)
 
 
 def found(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """doc_id, n_<kind>, base_sha256, and spans: the base ones and the disclosing terms."""
-    told, terms = _with_terms(docs, alpha, support)
+    scratch = Scratch(docs.sparkSession, "pii")
+    told, terms = _with_terms(_numbered(id_and_text(docs), scratch), scratch, alpha, support)
     flat = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     both = told.select("row", "doc_id", "base").join(terms, "row", "left")
     every = F.sort_array(F.concat(flat("base"), F.coalesce(flat("terms"), F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
@@ -219,17 +245,13 @@ def _rewritten(text: Column, spans: Column, mark=lambda c: c["mark"]) -> Column:
 
 def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """The documents, all columns, with every span replaced; n_chars, if there, follows the text."""
-    _, terms = _with_terms(docs, alpha, support)
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("whole", "text", "row", F.inline(F.array(F.struct(_plain(base_spans(F.col("text"))).alias("base")))))
-    n = terms.agg(F.sum(F.size("terms"))).first()[0]
-    if n:
-        rows = rows.join(F.broadcast(terms) if n <= BROADCAST_ROWS else terms, "row", "left")
-    else:
-        rows = rows.withColumn("terms", F.lit(None).cast(_PARTS))
-    every = F.sort_array(F.concat("base", F.coalesce("terms", F.array().cast(_PARTS))))
-    new = F.when((F.size("base") == 0) & F.col("terms").isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), every))
+    scratch, names = Scratch(docs.sparkSession, "pii"), docs.columns
+    rows = _numbered(docs, scratch)
+    told, terms = _with_terms(rows, scratch, alpha, support)
+    marked = told.select("row", _plain(F.col("base")).alias("base")).join(terms, "row", "left").filter((F.size("base") > 0) | F.col("terms").isNotNull())
+    marked = scratch.put("marked", marked.withColumn("terms", F.coalesce("terms", F.array().cast(_PARTS))))
+    rows = rows.join(F.broadcast(marked) if _few(marked, F.size("base") + F.size("terms")) else marked, "row", "left").withColumn("text", _text())
+    new = F.when(F.col("base").isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), F.sort_array(F.concat("base", "terms"))))
     out = rows.select("whole", F.inline(F.array(F.struct(new.alias("new")))))
     held = lambda c: F.col("whole").getField(c)
     changed = {"text": F.col("new"), "n_chars": F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), held("n_chars")) if "n_chars" in names else None}

@@ -41,6 +41,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.opened.append(self)
+        self.names: set[str] = set()
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
@@ -48,6 +49,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.names.add(name)
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.get(name, df)
 
@@ -61,6 +63,11 @@ class Scratch:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these, once nothing else is read any more."""
+        for name in self.names - set(names):
+            self.drop(name)
+
     @classmethod
     def drop_since(cls, n: int) -> None:
         """What was opened after the first ``n``: for results that have been written elsewhere."""
@@ -69,6 +76,7 @@ class Scratch:
         del cls.opened[n:]
 
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         self._delete(self.path(name))
 
     def _forget(self, table: str) -> None:

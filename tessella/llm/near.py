@@ -194,12 +194,12 @@ def _block_links(groups: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents are linked where 100 * common >= percent * union."""
-    return _decided(docs, percent).drop("text_md5", "nameless")
+    return _decided(docs, percent, Scratch(docs.sparkSession, "near")).drop("text_md5", "nameless")
 
 
-def _decided(docs: DataFrame, percent: int) -> DataFrame:
+def _decided(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``near_duplicates`` and the MD5 of each text: with the doc_id it names the rows that share a decision."""
-    docs, scratch = id_and_text(docs), Scratch(docs.sparkSession, "near")
+    docs = id_and_text(docs)
     features = scratch.put("features", _features(docs))
     classes = scratch.put(
         "classes",
@@ -261,6 +261,7 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
     of = classes.select("cls", "set_key", "least_doc").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of.groupBy("comp").agg(F.min("least_doc").alias("least"))
     named = scratch.put("named", of.join(least, "comp").select("set_key", "least", F.when(F.col("least").isNull(), F.col("comp")).alias("nameless")))
+    scratch.keep("features", "named")
     out = features.select("doc_id", "n_shingles", "set_key", "text_md5").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_md5", "nameless").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -269,7 +270,9 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
 def deduped(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The documents, all columns, one of each group. Rows that share a doc_id, or have none, are decided each by its own text; of rows with
     equal doc_id and text one stays, whatever their other columns; of a group without any doc_id the text with the least MD5 stays."""
-    found = Scratch(docs.sparkSession, "near-kept").put("found", _decided(docs, percent).select("doc_id", "text_md5", "kept", "nameless"))
+    scratch = Scratch(docs.sparkSession, "near")
+    found = scratch.put("found", _decided(docs, percent, scratch).select("doc_id", "text_md5", "kept", "nameless"))
+    scratch.keep("found")
     nameless = found.filter("nameless is not null").select("nameless", "text_md5").distinct()
     chosen = nameless.groupBy("nameless").agg(F.min("text_md5").alias("chosen"))
     others = nameless.join(chosen, "nameless").filter("text_md5 <> chosen").select(F.lit(None).cast("long").alias("doc_id"), "text_md5")

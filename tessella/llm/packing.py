@@ -122,6 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
     parts = max(1, -(-cut_up.count() // PIECES_PER_PARTITION))
     deal = lambda df, n, salt: df.withColumn("part", F.pmod(F.xxhash64(F.col("deal"), F.lit(salt)), F.lit(n)))
     now, done = scratch.put("round0", _packed(deal(cut_up, parts, 0), capacity, 0)), []
+    scratch.drop("pieces")
     for k in itertools.count(1):  # each round has half as many partitions
         sums = lambda df: df.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         open_ = sums(now).filter("bins > bound").agg(F.count("*").alias("n"), F.sum("bins").alias("bins")).first()

@@ -321,6 +321,7 @@ def _parsed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     copied = blocks.select("block", "blob").join(held, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     many = copied.join(asked.filter("copies > 1").drop("copies"), ["block", "copy"]).select("block", "blob", "asked")
     parsed = scratch.put("parsed", over(one.unionByName(many), parse, "source long, segment binary, factors binary"))
+    scratch.keep("bucketed", "segments", "parsed")
     placed = cut.select("source", "segment", "block", "places").join(parsed, ["source", "segment"])
     found = placed.filter(F.length("factors") > 0).groupBy("block").agg(F.collect_list(F.struct("source", "places", "factors")).alias("found"))
     return blocks, found

@@ -147,19 +147,16 @@ def _occurrences(around: Column, hits: Column) -> Column:
 
 
 def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """row and, as ``whole``, all columns: written once, so that every later plan sees the same row numbers."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    return scratch.put("rows", docs.select(whole).withColumn("row", F.monotonically_increasing_id()))
-
-
-def _text() -> Column:
-    return F.col("whole").getField("text").cast("string")
+    """row, doc_id and text, and every other column under a number: written once, so that every later plan sees the same row numbers."""
+    names = docs.columns
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    return scratch.put("rows", own.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _told(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """One row for each document: a row number, its base spans and their values, a hash of the text and its terms."""
-    one = rows.select("row", F.col("whole").getField("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
-    one = one.select("row", "doc_id", "text", F.inline(F.array(F.struct(base_spans(F.col("text")).alias("base")))))
+    one = rows.select("row", "doc_id", "text", F.inline(F.array(F.struct(base_spans(F.col("text")).alias("base")))))
     slim = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["bstart"].alias("bstart"), s["bend"].alias("bend")))
     values = F.array_distinct(F.transform("base", lambda s: s["value"]))
     return scratch.put("told", one.select("row", "doc_id", slim.alias("base"), values.alias("values"), F.xxhash64("text").alias("context"), _terms(_around(F.col("text"), F.col("base"))).alias("terms")))
@@ -171,11 +168,6 @@ def _fits(df: DataFrame, column: str) -> bool:
     return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
-def _few(df: DataFrame, entries: Column) -> bool:
-    """The same for rows of ``entries`` spans or terms, of 80 bytes each in the mean."""
-    return df.agg(F.coalesce(F.sum(40 + 80 * entries), F.lit(0))).first()[0] <= BROADCAST_BYTES
-
-
 def disclosing(told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(value, term, share): PMI(term; value) / IC(value) of the pairs that reach alpha."""
     total = told.count()
@@ -201,21 +193,31 @@ def disclosing(told: DataFrame, scratch: Scratch, alpha: float = ALPHA, support:
     return rated.filter(F.col("share") >= alpha - 1e-9)
 
 
-def _with_terms(rows: DataFrame, scratch: Scratch, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
+def _marked(rows: DataFrame, scratch: Scratch, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """All of ``_told``, and (row, base, hits) of the rows that have base spans or disclosing terms."""
     told = _told(rows, scratch)
     terms = scratch.put("disclosing", disclosing(told, scratch, alpha, support).groupBy("term").agg(F.max("share").alias("share")))
     terms = F.broadcast(terms) if _fits(terms, "term") else terms
-    concerned = told.select("row", "base", F.explode("terms").alias("term")).join(terms, "term").groupBy("row").agg(F.first("base").alias("base"), F.collect_list(F.struct("term", "share")).alias("hits"))
-    concerned = scratch.put("concerned", concerned)
-    texts = rows.select(_text().alias("text"), "row").join(F.broadcast(concerned) if _few(concerned, F.size("base") + F.size("hits")) else concerned, "row")
-    spans = texts.select("row", F.inline(F.array(F.struct(_occurrences(_around(F.col("text"), F.col("base")), F.col("hits")).alias("terms")))))
-    return told, scratch.put("terms", spans)
+    hits = told.select("row", F.explode("terms").alias("term")).join(terms, "term").groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("hits"))
+    marked = scratch.put("marked", told.select("row", "base").join(hits, "row", "left").filter((F.size("base") > 0) | F.col("hits").isNotNull()))
+    return told, marked
+
+
+def _with_terms(texts: DataFrame) -> DataFrame:
+    """Adds ``terms``, the spans of the hits, computed once for each row."""
+    own = F.when(F.col("hits").isNotNull(), _occurrences(_around(F.col("text"), F.col("base")), F.col("hits"))).otherwise(F.array().cast(_PARTS))
+    kept = [c for c in texts.columns if c != "hits"]
+    return texts.select(*kept, F.inline(F.array(F.struct(own.alias("terms")))))
 
 
 def found(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """doc_id, n_<kind>, base_sha256, and spans: the base ones and the disclosing terms."""
     scratch = Scratch(docs.sparkSession, "pii")
-    told, terms = _with_terms(_numbered(id_and_text(docs), scratch), scratch, alpha, support)
+    rows = _numbered(id_and_text(docs), scratch)
+    told, marked = _marked(rows, scratch, alpha, support)
+    terms = _with_terms(rows.select("text", "row").join(marked.filter("hits is not null"), "row"))
+    terms = scratch.put("terms", terms.select("row", "terms"))
+    scratch.keep("told", "terms")
     flat = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     both = told.select("row", "doc_id", "base").join(terms, "row", "left")
     every = F.sort_array(F.concat(flat("base"), F.coalesce(flat("terms"), F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
@@ -247,12 +249,12 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     """The documents, all columns, with every span replaced; n_chars, if there, follows the text."""
     scratch, names = Scratch(docs.sparkSession, "pii"), docs.columns
     rows = _numbered(docs, scratch)
-    told, terms = _with_terms(rows, scratch, alpha, support)
-    marked = told.select("row", _plain(F.col("base")).alias("base")).join(terms, "row", "left").filter((F.size("base") > 0) | F.col("terms").isNotNull())
-    marked = scratch.put("marked", marked.withColumn("terms", F.coalesce("terms", F.array().cast(_PARTS))))
-    rows = rows.join(F.broadcast(marked) if _few(marked, F.size("base") + F.size("terms")) else marked, "row", "left").withColumn("text", _text())
-    new = F.when(F.col("base").isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), F.sort_array(F.concat("base", "terms"))))
-    out = rows.select("whole", F.inline(F.array(F.struct(new.alias("new")))))
-    held = lambda c: F.col("whole").getField(c)
-    changed = {"text": F.col("new"), "n_chars": F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), held("n_chars")) if "n_chars" in names else None}
-    return out.select(*[(changed[c] if c in changed else held(c)).alias(c) for c in names])
+    _, marked = _marked(rows, scratch, alpha, support)
+    scratch.keep("rows", "marked")
+    others = [f"c{i}" for i, c in enumerate(names) if c != "text"]
+    rows = _with_terms(rows.join(marked, "row", "left").select(*others, "text", "base", "hits"))
+    every = F.sort_array(F.concat(_plain(F.col("base")), "terms"))
+    new = F.when(F.col("base").isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), every))
+    out = rows.select(*others, F.inline(F.array(F.struct(new.alias("new")))))
+    n_chars = lambda i: F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), F.col(f"c{i}"))
+    return out.select(*[(F.col("new") if c == "text" else n_chars(i) if c == "n_chars" else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])

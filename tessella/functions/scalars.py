@@ -71,10 +71,43 @@ def nonce_hex(number: Column, padding: int) -> Column:
 
 
 def pax_nanoseconds(text: Column) -> Column:
-    """Nanoseconds of a PAX time: digits with at most one point; digits beyond the ninth are dropped; null if malformed or too large."""
-    whole, part = F.regexp_extract(text, r"^([0-9]*)", 1), F.rpad(F.substring(F.regexp_extract(text, r"\.([0-9]*)$", 1), 1, 9), 9, "0")
+    """Nanoseconds of a PAX time: digits with at most one point, either side may be empty; digits beyond the ninth are dropped, zeros before the first
+    count nothing; null if malformed or too large."""
+    whole = F.regexp_extract(text, r"^0*([0-9]*)", 1)
+    part = F.rpad(F.substring(F.regexp_extract(text, r"\.([0-9]*)$", 1), 1, 9), 9, "0")
     total = F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), part).cast("decimal(38,0)")
-    return F.when(text.rlike(r"^[0-9]{1,20}(\.[0-9]*)?$") & (total <= F.lit("18446744073709551615").cast("decimal(38,0)")), total)
+    fine = text.rlike(r"^[0-9]*(\.[0-9]*)?$") & (F.length(whole) <= 20)
+    return F.when(fine, F.when(total <= F.lit("18446744073709551615").cast("decimal(38,0)"), total))
+
+
+def le_signed(data: Column) -> Column:
+    """A signed number from up to 8 little-endian bytes."""
+    width, n = F.octet_length(data), le_number(data)
+    power = lambda less: F.element_at(F.array(*[F.lit(str(1 << (8 * k - less))).cast("decimal(38,0)") for k in range(1, 9)]), width)
+    half, full, wide = power(1), power(0), n.cast("decimal(38,0)")
+    return F.when(wide >= half, wide - full).otherwise(wide).cast("long")
+
+
+def le_double(data: Column) -> Column:
+    """A float from 8 little-endian bytes, by its sign, exponent and fraction."""
+    bits = le_signed(data)
+    exponent = F.shiftrightunsigned(bits, 52).bitwiseAND(F.lit(0x7FF).cast("long"))
+    fraction = bits.bitwiseAND(F.lit((1 << 52) - 1).cast("long"))
+    sign = F.when(bits < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    tiny = fraction.cast("double") * F.lit(2.0**-1074)
+    scaled = (fraction + F.lit(1 << 52).cast("long")).cast("double") * F.pow(F.lit(2.0), (exponent - 1075).cast("double"))
+    special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return sign * F.when(exponent == 0x7FF, special).when(exponent == 0, tiny).otherwise(scaled)
+
+
+def platform_order(wide: Column, data: Column) -> Column:
+    """Sorts platform strings: by kind, then by bytes."""
+    return F.struct(wide.cast("int").alias("kind"), data.alias("bytes"))
+
+
+def lossy_text(data: Column) -> Column:
+    """UTF-8 with what is invalid replaced."""
+    return F.make_valid_utf8(data.cast("string"))
 
 
 def digest_bits(name: Column) -> Column:

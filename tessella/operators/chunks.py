@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.errors import InvalidInput
 from tessella.functions import codecs, scalars
+from tessella.operators import objects
+from tessella.sources.shared import stored
 
 GROUP = 1 << 16
+#: Fixed value: the last byte of a nonce for contents; header maps have 1.
+CONTENT_PADDING = 0
 
 
 def explode(files: DataFrame, size: int, *keep: str) -> DataFrame:
@@ -43,51 +48,59 @@ def numbered(files: DataFrame, size: int, *keep: str) -> DataFrame:
 
 
 def classified(chunks: DataFrame, size: int) -> DataFrame:
-    """Adds content_hash, same_byte (full-size chunks only), dup_of (lowest earlier chunk of equal content) and kind. The first chunk of a
-    content is found by an aggregate and joined back, so a content that many chunks share is combined before it moves."""
+    """Adds content_hash, same_byte (full-size chunks only), dup_of (lowest earlier chunk of equal content) and kind. Only numbers and hashes are
+    compared by content; what comes back to the chunks is joined by their own number, so contents that many chunks share gather nowhere."""
     hashed = chunks.withColumn("content_hash", F.sha2("data", 256))
     same = (F.col("n_bytes") == size) & scalars.same_byte(F.col("data"))
     hashed = hashed.withColumn("same_byte", F.when(same, F.conv(F.substring(F.hex("data"), 1, 2), 16, 10).cast("int")))
-    firsts = hashed.filter("same_byte is null and n_bytes > 0").groupBy("content_hash").agg(F.min("chunk_no").alias("first_no"))
-    out = hashed.join(firsts, "content_hash", "left")
-    dup = F.when(F.col("same_byte").isNull() & (F.col("first_no") < F.col("chunk_no")), F.col("first_no"))
-    kind = F.when(F.col("n_bytes") == 0, "empty").when(F.col("same_byte").isNotNull(), "same_bytes").when(dup.isNotNull(), "duplicate").otherwise("raw")
-    return out.withColumn("dup_of", dup).withColumn("kind", kind).drop("first_no")
+    narrow = hashed.filter("same_byte is null and n_bytes > 0").select("chunk_no", "content_hash")
+    firsts = narrow.groupBy("content_hash").agg(F.min("chunk_no").alias("dup_of"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = narrow.join(firsts, "content_hash").filter("dup_of < chunk_no").select("chunk_no", "dup_of")
+    kind = F.when(F.col("n_bytes") == 0, "empty").when(F.col("same_byte").isNotNull(), "same_bytes").when(F.col("dup_of").isNotNull(), "duplicate").otherwise("raw")
+    return hashed.join(later, "chunk_no", "left").withColumn("kind", kind)
 
 
 def resolved(chunks: DataFrame) -> DataFrame:
-    """(chunk_no, target): dup_of followed to a chunk that is none. One step reaches it where dup_of is a first chunk; longer chains need more."""
-    out = chunks.select("chunk_no", F.coalesce("dup_of", "chunk_no").alias("target"))
-    links = chunks.filter("dup_of is not null").select(F.col("chunk_no").alias("target"), F.col("dup_of").alias("further"))
-    return out.join(links, "target", "left").select("chunk_no", F.coalesce("further", "target").alias("target"))
+    """(chunk_no, target): dup_of followed to a chunk that is none, however long the chain: each round doubles the steps, until none is left. A
+    dup_of that isn't there is the target itself; a circle is an error."""
+    links = stored(chunks.filter("dup_of is not null").select("chunk_no", F.col("dup_of").alias("target")))
+    n, rounds = links.count(), 0
+    while True:
+        further = links.select(F.col("chunk_no").alias("target"), F.col("target").alias("further"))
+        if links.join(further, "target", "left_semi").isEmpty():
+            break
+        if 1 << rounds > n:
+            raise InvalidInput("a chunk duplicates itself")
+        links = stored(links.join(further, "target", "left").select("chunk_no", F.coalesce("further", "target").alias("target")))
+        rounds += 1
+    return chunks.select("chunk_no").join(links, "chunk_no", "left").select("chunk_no", F.coalesce("target", "chunk_no").alias("target"))
 
 
 def encoded(chunks: DataFrame, algorithm: str | None = "zstd", level: int = 3, threshold: float = 1.05, key: bytes | None = None) -> DataFrame:
-    """Adds payload, flags and integrity_hash. Same bytes come before duplicates, these before compressed and raw ones; only raw
-    chunks reach the compressor."""
-    raw = chunks.filter("kind = 'raw'")
-    raw = raw.withColumn("packed", codecs.compress(F.col("data"), algorithm, level, threshold) if algorithm else F.lit(None).cast("binary"))
-    other = chunks.filter("kind <> 'raw'").withColumn("packed", F.lit(None).cast("binary"))
-    out = raw.unionByName(other)
-    stored = F.when(F.col("kind") == "same_bytes", F.substring("data", 1, 1)).when(F.col("kind") == "duplicate", F.unhex(scalars.le_hex(F.col("dup_of")))).otherwise(F.coalesce("packed", "data"))
+    """Adds payload, flags and integrity_hash in one projection. Same bytes come before duplicates, these before compressed and raw ones; the
+    compressor gets null for all but raw chunks."""
+    packed = codecs.compress(F.when(F.col("kind") == "raw", F.col("data")), algorithm, level, threshold) if algorithm else F.lit(None).cast("binary")
+    out = chunks.withColumn("packed", packed).withColumn("integrity_hash", codecs.xxh3(F.col("data")))
+    plain = F.when(F.col("kind") == "same_bytes", F.substring("data", 1, 1)).when(F.col("kind") == "duplicate", F.unhex(scalars.le_hex(F.col("dup_of")))).otherwise(F.coalesce("packed", "data"))
     flags = scalars.pack_flags(compression=F.col("packed").isNotNull(), same_bytes=F.col("kind") == "same_bytes", duplicate=F.col("kind") == "duplicate", empty_file=F.col("kind") == "empty", encryption=F.lit(key is not None))
-    payload = codecs.seal(stored, key, scalars.nonce_hex(F.col("chunk_no"), 1)) if key else stored
-    return out.withColumn("flags", flags).withColumn("integrity_hash", codecs.xxh3(F.col("data"))).withColumn("payload", payload).withColumn("size", F.octet_length("payload").cast("long")).drop("packed")
+    payload = codecs.seal(plain, key, scalars.nonce_hex(F.col("chunk_no"), CONTENT_PADDING)) if key else plain
+    return out.withColumn("flags", flags).withColumn("payload", payload).withColumn("size", F.octet_length("payload").cast("long")).drop("packed")
 
 
-def decoded(stored: DataFrame, algorithm: str | None = "zstd", key: bytes | None = None) -> DataFrame:
-    """(object_no, file_no, ordinal, chunk_no, data): decrypt, then decompress, then expand or look up."""
-    plain = codecs.unseal(F.col("payload"), key, scalars.nonce_hex(F.col("chunk_no"), 1)) if key else F.col("payload")
-    opened = stored.select("object_no", "file_no", "ordinal", "chunk_no", "n_bytes", "flags", plain.alias("plain"))
+def decoded(stored_chunks: DataFrame, algorithm: str | None = "zstd", key: bytes | None = None) -> DataFrame:
+    """(object_no, file_no, ordinal, chunk_no, data): decrypt, then decompress, then expand or look up. Only duplicates and their sources meet in a
+    join. A key that doesn't fit stops the query."""
+    plain = objects.opened(F.col("payload"), codecs.unseal(F.col("payload"), key, scalars.nonce_hex(F.col("chunk_no"), CONTENT_PADDING))) if key else F.col("payload")
+    opened = stored_chunks.select("object_no", "file_no", "ordinal", "chunk_no", "n_bytes", "flags", plain.alias("plain"))
     has = lambda name: scalars.has_flag(F.col("flags"), name)
-    packed = opened.filter(has("compression"))
-    packed = packed.withColumn("data", codecs.decompress(F.col("plain"), F.col("n_bytes"), algorithm) if algorithm else F.col("plain"))
-    rest = opened.filter(~has("compression")).withColumn("data", F.when(has("same_bytes"), scalars.expand_same(F.hex("plain"), F.col("n_bytes"))).when(~has("duplicate"), F.col("plain")))
-    own = packed.unionByName(rest)
+    unpacked = codecs.decompress(F.when(has("compression"), F.col("plain")), F.col("n_bytes"), algorithm) if algorithm else F.lit(None).cast("binary")
+    own = opened.withColumn("unpacked", unpacked)
+    data = F.when(has("same_bytes"), scalars.expand_same(F.hex("plain"), F.col("n_bytes"))).otherwise(F.coalesce("unpacked", "plain"))
     target = F.when(has("duplicate"), scalars.le_number(F.col("plain")).cast("long"))
-    sources = own.filter(~has("duplicate")).select(F.col("chunk_no").alias("target"), F.col("data").alias("source_data"))
-    out = own.withColumn("target", target).join(sources, "target", "left")
-    return out.select("object_no", "file_no", "ordinal", "chunk_no", F.coalesce("data", "source_data").alias("data"))
+    names = ["object_no", "file_no", "ordinal", "chunk_no"]
+    whole = own.filter(~has("duplicate")).select(*names, data.alias("data"))
+    again = opened.filter(has("duplicate")).select(*names, target.alias("target")).join(whole.select(F.col("chunk_no").alias("target"), "data"), "target", "left")
+    return whole.unionByName(again.select(*names, "data"))
 
 
 def verified(stored: DataFrame, data: DataFrame) -> DataFrame:
@@ -104,9 +117,11 @@ def reassembled(chunks: DataFrame) -> DataFrame:
 
 
 def read_range(chunks: DataFrame, requests: DataFrame, size: int) -> DataFrame:
-    """(request_no, content) for (request_no, object_no, file_no, offset, length): only chunks in the range are touched; what lies beyond the end is not there."""
+    """(request_no, content) for (request_no, object_no, file_no, offset, length). Each request asks for its chunks by number, so no other chunk meets
+    it; what lies beyond the end is not there."""
     lo, hi = F.floor(F.col("offset") / size), F.floor((F.col("offset") + F.greatest(F.col("length"), F.lit(1)) - 1) / size)
-    own = requests.join(chunks.select("object_no", "file_no", "ordinal", "data"), ["object_no", "file_no"]).filter(F.col("ordinal").between(lo, hi))
+    asked = requests.select("request_no", "object_no", "file_no", "offset", "length", lo.alias("first"), F.explode(F.sequence(lo, hi)).alias("ordinal"))
+    own = asked.join(chunks.select("object_no", "file_no", F.col("ordinal").cast("long").alias("ordinal"), "data"), ["object_no", "file_no", "ordinal"])
     got = own.groupBy("request_no", "offset", "length").agg(F.min("ordinal").alias("first"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "data"))), lambda x: F.hex(x["data"])), "")).alias("joined"))
     part = F.substring("joined", (F.col("offset") - F.col("first") * size).cast("int") + 1, F.col("length").cast("int"))
     out = got.select("request_no", part.alias("content"))

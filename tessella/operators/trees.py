@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
+from tessella.sources.shared import stored
 
 STORED_FROM = 8
 COUNTED_FROM = 64
@@ -20,12 +21,6 @@ def roots(files: DataFrame) -> DataFrame:
     return files.filter("parent_file_no = 0").select("object_no", "file_no")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, in the shared folder if there is one."""
-    context = df.sparkSession.sparkContext._jsc.sc()
-    return df.checkpoint() if context.getCheckpointDir().isDefined() else df.localCheckpoint()
-
-
 def depths(files: DataFrame) -> DataFrame:
     """(object_no, file_no, depth) level by level, breadth first; ends when a level is empty. Deep levels are stored, so that plans stay short."""
     out = level = files.filter("parent_file_no = 0").select("object_no", "file_no", F.lit(0).alias("depth"))
@@ -36,7 +31,7 @@ def depths(files: DataFrame) -> DataFrame:
         up = level.select("object_no", F.col("file_no").alias("parent_file_no"))
         level = edges.join(up, ["object_no", "parent_file_no"]).select("object_no", "file_no", F.lit(depth).alias("depth"))
         if depth >= STORED_FROM:
-            level = _stored(level)
+            level = stored(level)
         if level.isEmpty():
             return out
         if depth == COUNTED_FROM:
@@ -45,7 +40,7 @@ def depths(files: DataFrame) -> DataFrame:
             raise InvalidInput("a file is below itself")
         out = out.unionByName(level)
         if depth % COUNTED_FROM == 0:
-            out = _stored(out)
+            out = stored(out)
 
 
 def hardlinks(entries: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import codecs, scalars
-from tessella.operators import chunks, keyed, segments, trees, virtual
+from tessella.functions import codecs, records, scalars
+from tessella.operators import chunks, keyed, objects, segments, trees, virtual
 from tessella.sources import tables
 
 CS = 256
@@ -17,7 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 KEY = bytes(range(32))
 
-FILES = """f as (select cast(1 as bigint) as object_no, doc_id as file_no, source, hex(encode(case when doc_id % 17 = 0 then '' when doc_id % 13 = 0 then repeat('A', 700) else text end)) as h from documents),
+FILES = """f as (select cast(1 as bigint) as object_no, doc_id as file_no, source, hex(encode(text)) as h from documents
+union all select 1, 1000000000 + doc_id, source, case when doc_id % 17 = 0 then '' else repeat('41', 700) end from documents where doc_id % 17 = 0 or doc_id % 13 = 0),
 f2 as (select *, cast(length(h) // 2 as bigint) as n from f)"""
 CHUNKS = FILES + f""",
 c0 as (select *, unnest(range(0, greatest(1, cast(ceil(n / {CS}.0) as bigint)))) as ordinal from f2),
@@ -248,11 +249,13 @@ def list_open_objects(spark, d):
     return tables.table(spark, d, "documents").select(F.col("doc_id").alias("object_no"), kind.alias("object_type")).filter("object_type <> 'encrypted'")
 
 
-@query(f"with {KINDS} select count(*) as n_chunks, true as all_intact from k")
+@query(f"with {KINDS} select chunk_no, not (chunk_no % 10 = 0 and n_bytes > 0) as intact from k")
 def integrity_verify(spark, d):
-    """Encode, decode, and compare every chunk's integrity hash."""
+    """Encode, decode, damage every tenth chunk, and compare every chunk's integrity hash."""
     e = chunks.encoded(_classified(spark, d))
-    return chunks.verified(e, chunks.decoded(e)).agg(F.count("*").alias("n_chunks"), F.bool_and("intact").alias("all_intact"))
+    flipped = F.unhex(F.concat(F.when(F.substring(F.hex("data"), 1, 1) == "0", "1").otherwise("0"), F.substring(F.hex("data"), 2, 1 << 30)))
+    damaged = chunks.decoded(e).withColumn("data", F.when((F.col("chunk_no") % 10 == 0) & (F.octet_length("data") > 0), flipped).otherwise(F.col("data")))
+    return chunks.verified(e, damaged)
 
 
 @query()
@@ -358,11 +361,15 @@ def flag_filter(spark, d):
     return tables.table(spark, d, "documents").filter(scalars.has_flag(flags, "duplicate") & ~scalars.has_flag(flags, "compression")).select("doc_id")
 
 
-@query("select event_id, t, case when regexp_full_match(t, '[0-9]{1,20}([.][0-9]*)?') then cast(split_part(t, '.', 1) || rpad(substr(split_part(t, '.', 2), 1, 9), 9, '0') as hugeint)::varchar end as ns from (select event_id, case event_id % 5 when 0 then event_id || '.5' when 1 then event_id || '.1234567899' when 2 then event_id || '..2' when 3 then '-' || event_id else '' || event_id end as t from events)")
+@query("""with e as (select event_id, case event_id % 8 when 0 then '.5' when 1 then '' when 2 then event_id || '..2' when 3 then '-' || event_id when 4 then event_id || '.1234567899'
+    when 5 then '' || event_id when 6 then '0000000000000000000000000' || event_id || '.' else '99999999999' || event_id end as t from events),
+p as (select *, regexp_full_match(t, '[0-9]*([.][0-9]*)?') as fine, ltrim(split_part(t, '.', 1), '0') as whole, rpad(substr(split_part(t, '.', 2), 1, 9), 9, '0') as part from e),
+n as (select event_id, t, case when fine and length(whole) <= 20 then cast(case whole when '' then '0' else whole end || part as hugeint) end as v from p)
+select event_id, t, case when v <= 18446744073709551615 then v::varchar end as ns from n""")
 def pax_time(spark, d):
-    e = F.col("event_id").cast("string")
-    t = F.when(F.col("event_id") % 5 == 0, F.concat(e, F.lit(".5"))).when(F.col("event_id") % 5 == 1, F.concat(e, F.lit(".1234567899"))).when(F.col("event_id") % 5 == 2, F.concat(e, F.lit("..2"))).when(F.col("event_id") % 5 == 3, F.concat(F.lit("-"), e)).otherwise(e)
-    return tables.table(spark, d, "events").select("event_id", t.alias("t")).withColumn("ns", scalars.pax_nanoseconds(F.col("t")).cast("string"))
+    e, kind = F.col("event_id").cast("string"), F.col("event_id") % 8
+    forms = [F.lit(".5"), F.lit(""), F.concat(e, F.lit("..2")), F.concat(F.lit("-"), e), F.concat(e, F.lit(".1234567899")), e, F.concat(F.lit("0" * 25), e, F.lit(".")), F.concat(F.lit("99999999999"), e)]
+    return tables.table(spark, d, "events").select("event_id", F.element_at(F.array(*forms), (kind + 1).cast("int")).alias("t")).withColumn("ns", scalars.pax_nanoseconds(F.col("t")).cast("string"))
 
 
 @query("select event_id, ((user_id & 4095) << 8) | (event_id & 255) | ((event_id & 4294967040) << 12) as dev from events")
@@ -440,14 +447,15 @@ def _codec(name: str):
     def run(spark, d):
         c = _numbered(spark, d).filter("n_bytes > 0").withColumn("packed", codecs.compress(F.col("data"), name, threshold=1.01))
         back = codecs.decompress(F.col("packed"), F.col("n_bytes"), name)
-        return c.select("chunk_no", (F.coalesce(back, F.col("data")) == F.col("data")).alias("intact"))
+        same = (F.col("n_bytes") == CS) & scalars.same_byte(F.col("data"))
+        return c.select("chunk_no", (F.coalesce(back, F.col("data")) == F.col("data")).alias("intact"), F.when(same, F.col("packed").isNotNull() & (F.octet_length("packed") < CS)).alias("packed"))
 
     return run
 
 
 for _name in ("zstd", "lz4"):
     QUERIES[f"{_name}_roundtrip"] = _codec(_name)
-    ORACLE_SQL[f"{_name}_roundtrip"] = f"with {CHUNKS} select chunk_no, true as intact from c where n_bytes > 0"
+    ORACLE_SQL[f"{_name}_roundtrip"] = f"with {KINDS} select chunk_no, true as intact, case when same then true end as packed from k where n_bytes > 0"
 
 
 @query(f"with {CHUNKS} select chunk_no, n_bytes + 16 as size, true as intact, true as wrong_key_is_null from c")
@@ -477,3 +485,142 @@ def header_validation(spark, d):
     t = tables.table(spark, d, "documents").select("doc_id", body.alias("b"))
     valid = (F.hex(F.substring("b", 1, 4)) == "54455331") & (scalars.le_number(F.substring("b", 5, 8)) == F.octet_length("b")) & (F.hex(F.substring("b", 13, 1)) == "03")
     return t.select("doc_id", valid.alias("valid"))
+
+
+_FULL = _PAGES.replace(f"// {TARGET}", f"// {1 << 20}").replace("// 50", "// 712")
+
+
+@query(f"with {_FULL} select segment_no, page_no, hi, n_entries from i")
+def page_index_full(spark, d):
+    """Pages of 712 entries, as many as a page of the default size holds."""
+    return segments.page_index(segments.paged(segments.assigned(_sized(spark, d), 1 << 20), 712)).select("segment_no", "page_no", "hi", "n_entries")
+
+
+@query(f"with {_PAGES} select coalesce(max(hi), 0) as n_chunks from i")
+def container_chunk_count(spark, d):
+    return objects.chunk_count(_index(spark, d))
+
+
+@query(f"with {KINDS}, t as (select *, case when n_bytes > 0 and not same then min(chunk_no) over (partition by content_hash, same) end as least from k) select chunk_no, coalesce(least, chunk_no) as target from t")
+def dup_chain_resolve(spark, d):
+    """Each duplicate names the one before it, so that a content with n chunks gives a chain of n - 1 steps."""
+    c = _classified(spark, d).select("chunk_no", "content_hash", "kind")
+    before = F.lag("chunk_no").over(Window.partitionBy("content_hash").orderBy("chunk_no"))
+    return chunks.resolved(c.select("chunk_no", F.when(F.col("kind").isin("raw", "duplicate"), before).alias("dup_of")))
+
+
+@query(f"with {KINDS} select kind, count(*) as n, 16 + case kind when 'same_bytes' then 4 when 'duplicate' then 8 when 'empty' then 32 else 0 end as flags, cast(sum(16 + case kind when 'same_bytes' then 1 when 'duplicate' then 8 else n_bytes end) as bigint) as stored from k group by kind")
+def sealed_flags(spark, d):
+    """Encrypted chunks: flags, and payloads with their tags."""
+    e = chunks.encoded(_classified(spark, d), algorithm=None, key=KEY)
+    return e.groupBy("kind").agg(F.count("*").alias("n"), F.max("flags").alias("flags"), F.sum("size").alias("stored"))
+
+
+@query(f"with {FILES} select file_no, sha256(unhex(h)) as digest from f2")
+def sealed_roundtrip(spark, d):
+    """Encode with compression and a key, decode, reassemble."""
+    back = chunks.reassembled(chunks.decoded(chunks.encoded(_classified(spark, d), key=KEY), key=KEY))
+    return back.select("file_no", F.sha2("content", 256).alias("digest"))
+
+
+@query(f"with {FILES} select file_no, source, n as n_bytes, cast(ceil(n / {CS}.0) as bigint) as n_chunks from f2")
+def file_parts(spark, d):
+    """File headers with their footers; a file without a footer is an error."""
+    files = tables.documents(spark, d)
+    footers = chunks.file_footers(files, CS).drop("taken")
+    return objects.joined(files.select("object_no", "file_no", "source"), footers, "object_no", "file_no").select("file_no", "source", "n_bytes", "n_chunks")
+
+
+@query(f"with {FILES} select file_no from f2 where n = 0")
+def files_without_chunks(spark, d):
+    """The keys that the join of headers with footers would fail on, were empty files to have none."""
+    files = tables.documents(spark, d)
+    return objects.without(files, chunks.file_footers(files, CS).filter("n_chunks > 0"), "object_no", "file_no").select("file_no")
+
+
+@query("select d.doc_id as object_no, p.doc_id as passive_no, p.lang from documents d join documents p on p.doc_id in (d.doc_id - 1, d.doc_id - 2) where d.doc_id % 3 = 0")
+def passive_objects(spark, d):
+    """Virtual objects with the objects that they read from."""
+    t = tables.table(spark, d, "documents").select(F.col("doc_id").alias("object_no"), "lang")
+    known = t.select(F.col("object_no").alias("no"))
+    asked = t.filter("object_no % 3 = 0").select("object_no", F.explode(F.array(F.col("object_no") - 1, F.col("object_no") - 2)).alias("no"))
+    virtual_objects = asked.join(known, "no", "left_semi").groupBy("object_no").agg(F.collect_list("no").alias("passive_objects"))
+    return objects.passive(virtual_objects, t).select("object_no", "passive_no", "lang")
+
+
+@query("select doc_id as k, case when doc_id % 4 = 0 then 'loaded' else lang end as v from documents")
+def overlay(spark, d):
+    t = tables.table(spark, d, "documents")
+    return objects.overlaid(t.select(F.col("doc_id").alias("k"), F.col("lang").alias("v")), t.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("k"), F.lit("loaded").alias("v")), "k")
+
+
+@query("select doc_id % 5 as object_no, cast(sum(case when doc_id % 3 = 0 or doc_id % 5 = 0 then 0 else 1 end) as bigint) as n_left from documents group by 1")
+def files_left(spark, d):
+    files = tables.table(spark, d, "documents").select((F.col("doc_id") % 5).alias("object_no"), F.col("doc_id").alias("file_no"))
+    return objects.files_left(files, files.filter("file_no % 3 = 0 or object_no = 0"))
+
+
+@query("select user_id % 50 as object_no, min(event_id) as started, max(event_id) as ended from events group by 1")
+def acquisition_times(spark, d):
+    return objects.acquired(tables.table(spark, d, "events").select((F.col("user_id") % 50).alias("object_no"), "event_id"), "event_id")
+
+
+@query("select doc_id + 1 as file_no, cast(0 as bigint) as v_offset, octet_length(encode(text)) as length, cast(1 as bigint) as src_object, cast(7 as bigint) as src_file, 512 * doc_id as src_offset from documents where doc_id % 5 <> 0 and octet_length(encode(text)) > 0")
+def virtual_archive(spark, d):
+    """Extents of a virtual object over the entries of a stored archive."""
+    kind = F.when(F.col("doc_id") % 5 == 0, "directory").otherwise("file")
+    e = tables.table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("p/"), F.col("doc_id")).alias("path"), kind.alias("file_type"), F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("length"), (512 * F.col("doc_id")).alias("data_offset"))
+    return objects.archive_entries(e, 1, 7, 9)[1]
+
+
+def _le_sql(x: str) -> str:
+    return " || ".join(f"substr(lpad(hex({x}), 16, '0'), {k}, 2)" for k in range(15, 0, -2))
+
+
+@query(f"with t as (select *, octet_length(encode(lang)) as n from documents) select doc_id, lower('0A' || {_le_sql('2')} || {_le_sql('4')} || '6C616E67' || '08' || {_le_sql('n')} || hex(encode(lang)) || {_le_sql('1')} || '6E' || '03' || {_le_sql('n_chars')}) as record, lang || '/' || n_chars as back, true as cut_is_null from t")
+def metadata_records(spark, d):
+    """Tagged metadata into bytes and back; what is cut off doesn't decode."""
+    made = records.over(lambda lang, n: records.encode("any", records.Tagged("map", {"lang": records.Tagged("string", lang), "n": records.Tagged("u64", int(n))})), "binary")
+
+    def read(raw: bytes) -> str:
+        got = records.Reader(raw).read("any").value
+        return f"{got['lang'].value}/{got['n'].value}"
+
+    back = records.over(read, "string")
+    t = tables.table(spark, d, "documents").select("doc_id", made("lang", "n_chars").alias("r"))
+    return t.select("doc_id", F.lower(F.hex("r")).alias("record"), back("r").alias("back"), back(F.substring("r", F.lit(1), F.octet_length("r") - 1)).isNull().alias("cut_is_null"))
+
+
+@query(f"select conv_id, lower({_le_sql('count(*)')} || string_agg({_le_sql('octet_length(encode(role))')} || hex(encode(role)), '' order by turn)) as record from conversations group by conv_id")
+def string_lists(spark, d):
+    """A list of texts in bytes, by built-in expressions."""
+    t = tables.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    return t.select("conv_id", F.lower(F.hex(records.string_list(F.col("roles")))).alias("record"))
+
+
+@query(f"with {SEGMENTS} select segment_no, segment_no || ':' || min(chunk_no) || ':' || max(chunk_no) || ':' || cast(sum(n_bytes) as bigint) as opened, true as zeros_are_null from s group by segment_no")
+def segment_open(spark, d):
+    """Segments in bytes, opened again: the header at the start, the footer by the last eight bytes."""
+
+    def made(no: int, first: int, hi: int, size: int) -> bytes:
+        head = records.SEGMENT_HEADER.encode(unique_identifier=0x5AFF, segment_number=no, chunkmap_size=32768)
+        none = {n: {} for n in ("object_headers", "object_footers", "same_bytes", "duplicates")}
+        return head + records.SEGMENT_FOOTER.encode(length_of_segment=size, chunk_headers={hi: len(head)}, first_chunk_number=first, footer_offset=len(head), **none)
+
+    def opened(raw: bytes) -> str:
+        header, footer = records.open_segment(raw)
+        return f"{header['segment_number']}:{footer['first_chunk_number']}:{max(footer['chunk_headers'])}:{footer['length_of_segment']}"
+
+    own = _placed(spark, d).groupBy("segment_no").agg(F.min("chunk_no").alias("first"), F.max("chunk_no").alias("hi"), F.sum("size").alias("n"))
+    own = own.select("segment_no", records.over(made, "binary")("segment_no", "first", "hi", "n").alias("raw"))
+    read = records.over(opened, "string")
+    return own.select("segment_no", read("raw").alias("opened"), read(F.unhex(F.lit("00" * 7))).isNull().alias("zeros_are_null"))
+
+
+@query("select event_id, -event_id as signed, value as number from events")
+def le_numbers(spark, d):
+    """Signed numbers and floats from little-endian bytes."""
+    t = tables.table(spark, d, "events")
+    raw = records.over(lambda n, x: records.encode("i64", int(n)) + records.encode("f64", x), "binary")
+    t = t.select("event_id", raw(-F.col("event_id"), F.col("value")).alias("b"))
+    return t.select("event_id", scalars.le_signed(F.substring("b", 1, 8)).alias("signed"), scalars.le_double(F.substring("b", 9, 8)).alias("number"))

@@ -12,12 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+EXTRA = 1_000_000_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Object 1: a file for each document, and its source as a further column. Every 17th is empty and every 13th a run of one byte, so that
-    these branches are never vacuous."""
-    run = F.when(F.col("doc_id") % 17 == 0, F.lit("")).when(F.col("doc_id") % 13 == 0, F.repeat(F.lit("A"), F.lit(700))).otherwise(F.col("text"))
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.lit(1).cast("long").alias("object_no"), F.col("doc_id").alias("file_no"), F.lit("file").alias("file_type"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("filename"), F.lit(0).cast("long").alias("parent_file_no"), F.encode(run, "UTF-8").alias("content"), "source")
+    """Object 1: a file for each document, whole, and its source as a further column. Beside every 17th there is an empty file and beside every 13th
+    a run of one byte, numbered from EXTRA on, so that these branches are never vacuous."""
+    own = F.struct(F.col("doc_id").alias("no"), F.col("text").alias("t"))
+    empty = F.when(F.col("doc_id") % 17 == 0, F.struct((F.lit(EXTRA) + F.col("doc_id")).alias("no"), F.lit("").alias("t")))
+    run = F.when((F.col("doc_id") % 13 == 0) & (F.col("doc_id") % 17 != 0), F.struct((F.lit(EXTRA) + F.col("doc_id")).alias("no"), F.repeat(F.lit("A"), F.lit(700)).alias("t")))
+    d = table(spark, sf_dir, "documents").select("source", F.explode(F.filter(F.array(own, empty, run), lambda x: x.isNotNull())).alias("x"))
+    return d.select(F.lit(1).cast("long").alias("object_no"), F.col("x.no").alias("file_no"), F.lit("file").alias("file_type"), F.concat(F.lit("doc-"), F.col("x.no")).alias("filename"), F.lit(0).cast("long").alias("parent_file_no"), F.encode("x.t", "UTF-8").alias("content"), "source")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

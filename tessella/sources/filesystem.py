@@ -6,18 +6,22 @@ import base64
 import os
 import stat
 import tarfile
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-TREE_SCHEMA = "path string, file_type string, link_target string, length long, mode long, uid long, gid long, mtime long, dev long, inode long, nlink long, status string, content binary"
+TREE_SCHEMA = "path string, file_type string, link_target string, length long, mode long, uid long, gid long, mtime long, dev long, inode long, nlink long, status string, content binary, atime long, ctime long, rdev long, xattrs map<string,binary>"
+BLOCK_SCHEMA = "path string, ordinal long, n_bytes long, status string, data binary"
+#: Fixed value: how often an interrupted read is tried again before its block counts as zeros.
+RETRIES = 11
 TAR_SCHEMA = "archive string, ordinal long, path string, file_type string, link_target string, data_offset long, length long, mode long, uid long, gid long, mtime long, pax map<string,string>, content binary"
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files by Spark's own reader, numbered by depth and path."""
+    """Files by Spark's own reader, whole, with the depth of their path; ``numbered`` gives them numbers."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return found.select("path", F.size(F.split("path", "/")).alias("depth"), "length", "modificationTime", "content")
 
@@ -53,9 +57,10 @@ class _TreeReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         todo = [partition.value]
         for path in todo:
-            own = os.lstat(path)
-            kind, status, content, target = kind_of(own.st_mode), "ok", None, None
+            kind, status, content, target, own, xattrs = "file", "ok", None, None, None, {}
             try:
+                own = os.lstat(path)
+                kind, xattrs = kind_of(own.st_mode), attributes(path)
                 if kind == "directory":
                     todo += [os.path.join(path, x) for x in sorted(os.listdir(path))]
                 elif kind == "symlink":
@@ -65,7 +70,70 @@ class _TreeReader(DataSourceReader):
                         content = f.read()
             except OSError:
                 status, content = "ua", b""
-            yield path, kind, target, own.st_size, own.st_mode & 0o7777, own.st_uid, own.st_gid, int(own.st_mtime), own.st_dev, own.st_ino, own.st_nlink, status, content
+            if own is None:  # gone meanwhile, or in a folder that can't be searched
+                yield path, kind, None, *[None] * 8, status, content, None, None, None, {}
+            else:
+                yield path, kind, target, own.st_size, own.st_mode & 0o7777, own.st_uid, own.st_gid, int(own.st_mtime), own.st_dev, own.st_ino, own.st_nlink, status, content, int(own.st_atime), int(own.st_ctime), own.st_rdev, xattrs
+
+
+def attributes(path: str) -> dict[str, bytes]:
+    """Extended attributes; POSIX ACLs are among them, as the system stores them. What can't be read is left out."""
+    found = {}
+    try:
+        for name in os.listxattr(path, follow_symlinks=False):
+            found[name] = os.getxattr(path, name, follow_symlinks=False)
+    except (OSError, AttributeError):
+        pass
+    return found
+
+
+class BlockSource(DataSource):
+    """Format ``evidence_blocks``: each of the comma-separated files, of any size, in blocks of ``size`` bytes. Runs of blocks are read by tasks of their own, of
+    ``task_bytes`` at most, so neither a row nor a task has to hold a file. A block that stays unreadable is zeros, with status ``zero``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "evidence_blocks"
+
+    def schema(self) -> str:
+        return BLOCK_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _BlockReader(self.options["path"].split(","), int(self.options.get("size", 32768)), int(self.options.get("task_bytes", 64 << 20)), float(self.options.get("pause", 6)))
+
+
+class _BlockReader(DataSourceReader):
+    def __init__(self, paths: list[str], size: int, task_bytes: int, pause: float):
+        self.paths, self.size, self.run, self.pause = paths, size, max(1, task_bytes // size), pause
+
+    def partitions(self) -> list[InputPartition]:
+        sizes = [(p, -(-os.stat(p).st_size // self.size)) for p in self.paths]
+        return [InputPartition((p, first, min(n, first + self.run))) for p, n in sizes for first in range(0, max(1, n), self.run)]
+
+    def block(self, f, ordinal: int) -> tuple[bytes, str]:
+        """One block; short reads go on, interrupted ones are tried again."""
+        wanted, held, tries = self.size, b"", 0
+        f.seek(ordinal * self.size)
+        while len(held) < wanted:
+            try:
+                got = f.read(wanted - len(held))
+            except InterruptedError:
+                tries += 1
+                if tries > RETRIES:
+                    return bytes(wanted), "zero"
+                time.sleep(self.pause)
+                continue
+            if not got:
+                break
+            held += got
+        return held, "ok"
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        path, first, last = partition.value
+        with open(path, "rb", buffering=0) as f:
+            for ordinal in range(first, max(last, first + 1)):
+                data, status = self.block(f, ordinal)
+                yield path, ordinal, len(data), status, data
 
 
 class TarSource(DataSource):
@@ -109,7 +177,7 @@ class _TarReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (TreeSource, TarSource):
+    for source in (TreeSource, TarSource, BlockSource):
         spark.dataSource.register(source)
 
 

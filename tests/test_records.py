@@ -111,3 +111,43 @@ def test_numbers_and_order(spark):
     strings = spark.createDataFrame([(True, bytearray(b"a\0")), (False, bytearray(b"b")), (False, bytearray(b"ab"))], "wide boolean, b binary")
     assert [bytes(r["b"]) for r in strings.orderBy(scalars.platform_order(F.col("wide"), F.col("b"))).collect()] == [b"ab", b"b", b"a\0"]
     assert [r["file_no"] for r in objects.emission_order(spark.createDataFrame([(1, 1), (1, 3), (2, 1)], "object_no long, file_no long")).collect()] == [1, 3, 1]
+
+
+def test_blocks_of_files_and_interrupted_reads(spark, tmp_path):
+    from tessella.sources import filesystem
+
+    raw = bytes(range(256)) * 41 + b"end"
+    (tmp_path / "image").write_bytes(raw)
+    (tmp_path / "nothing").write_bytes(b"")
+    filesystem.register(spark)
+    got = spark.read.format("evidence_blocks").option("path", f"{tmp_path}/image,{tmp_path}/nothing").option("size", 1000).option("task_bytes", 3000).load().orderBy("path", "ordinal").collect()
+    assert b"".join(bytes(r["data"]) for r in got) == raw and [r["ordinal"] for r in got] == [*range(11), 0] and {r["status"] for r in got} == {"ok"}
+
+    class Bad:
+        def __init__(self, fails):
+            self.fails = fails
+
+        def seek(self, at):
+            pass
+
+        def read(self, n):
+            self.fails -= 1
+            if self.fails >= 0:
+                raise InterruptedError
+            return b"x" * min(n, 3)
+
+    reader = filesystem._BlockReader([], 7, 7, 0)
+    assert reader.block(Bad(11), 0) == (b"x" * 7, "ok") and reader.block(Bad(12), 0) == (bytes(7), "zero")
+
+
+def test_an_entry_that_vanishes_is_kept(spark, tmp_path, monkeypatch):
+    import os
+
+    from pyspark.sql.datasource import InputPartition
+
+    from tessella.sources import filesystem
+
+    (tmp_path / "a").write_bytes(b"abc")
+    monkeypatch.setattr(os, "listdir", lambda path: ["a", "gone"])
+    rows = list(filesystem._TreeReader([]).read(InputPartition(str(tmp_path))))
+    assert [(r[0].rsplit("/", 1)[1], r[11]) for r in rows[1:]] == [("a", "ok"), ("gone", "ua")] and all(len(r) == 17 for r in rows)

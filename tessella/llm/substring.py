@@ -40,6 +40,7 @@ BLOCK_BYTES = 4 << 20
 ENTRIES_PER_BUCKET = 1 << 17
 SEGMENT_BYTES, SEGMENTS = 1 << 19, 1000  # for one copy of a block
 BUCKET_BYTES = 1 << 28
+SALTS = 16
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 
@@ -313,7 +314,8 @@ def _parsed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     distinct = cut.groupBy("source", "segment").agg(F.first("words").alias("words"), F.first("bytes").alias("bytes"))
     distinct = scratch.put("distinct", distinct)
     copies = distinct.groupBy("source").agg(F.ceil(F.greatest(F.sum("bytes") / SEGMENT_BYTES, F.count("*") / SEGMENTS)).cast("int").alias("copies"))
-    dealt = distinct.join(copies, "source").withColumn("copy", F.pmod(F.xxhash64("segment"), F.col("copies").cast("long")).cast("int"))
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a block with many segments is not one task's
+    dealt = distinct.withColumn("salt", F.pmod(F.xxhash64("segment"), F.lit(SALTS)).cast("int")).join(copies, ["source", "salt"]).withColumn("copy", F.pmod(F.xxhash64("segment", F.lit(1)), F.col("copies").cast("long")).cast("int"))
     asked = dealt.groupBy(F.col("source").alias("block"), "copy", "copies").agg(F.collect_list(F.struct("segment", "words")).alias("asked"))
     asked = scratch.put("asked", asked)
     one = blocks.select("block", "blob").join(asked.filter("copies = 1").select("block", "asked"), "block").select("block", "blob", "asked")

@@ -139,13 +139,5 @@ def word_ids(path: str, width: int = 4) -> WordIds:
     return _held[path, width]
 
 
-def forget() -> None:
-    """Empties the caches, for the worker that goes on with other work; the tokenizers stay."""
-    for words in _held.values():
-        words.clear()
-        words.after.clear()
-        words.parts.clear()
-
-
 def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)

@@ -136,12 +136,18 @@ def _rows(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
+MAGIC, VERSION = "token-store", 1
+BOOK_SCHEMA = "magic string, version int, tokenizer string, end_id long, lengths binary"
+
+
 class TokenStore:
-    """Writes documents' ids to block files in the shared folder and reads them back."""
+    """Writes documents' ids to block files and reads them back. A store is a folder: ``files`` holds the blocks, ``book`` one row with magic, version, the
+    tokenizer's file name, the end id and the code length of each id, all that decoding needs. Without a ``path`` it lies in the shared folder until the driver ends."""
 
-    def __init__(self, spark: SparkSession, tokenizer: str, end_id: int):
+    def __init__(self, spark: SparkSession, tokenizer: str, end_id: int, path: str | None = None):
         self.spark, self.tokenizer, self.end_id = spark, tokenizer, end_id
         self.scratch = Scratch(spark, "token-store")
+        self.path = path or self.scratch.path("store")
         self.size = max(vocabulary_size(tokenizer), end_id + 1)
         self.width = 2 if self.size <= 1 << 16 else 4
 
@@ -170,8 +176,7 @@ class TokenStore:
         counts = np.zeros(size, np.int64)
         for row in counted:
             counts[row["id"]] = row["n"]
-        self.lengths = code_lengths(counts)
-        lengths, parts = self.lengths, max(1, -(-int(counts.sum()) // PART_TOKENS))
+        lengths, parts = code_lengths(counts), max(1, -(-int(counts.sum()) // PART_TOKENS))
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             book = Codebook(lengths)
@@ -210,14 +215,26 @@ class TokenStore:
                 yield block()
 
         in_order = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "payload")
-        self.files = self.scratch.put("files", in_order.mapInArrow(blocks, FILE_SCHEMA))
+        in_order.mapInArrow(blocks, FILE_SCHEMA).write.option("compression", "zstd").parquet(f"{self.path}/files")
+        book = [(MAGIC, VERSION, path.rsplit("/", 1)[-1], self.end_id, bytearray(lengths.tobytes()))]
+        self.spark.createDataFrame(book, BOOK_SCHEMA).coalesce(1).write.parquet(f"{self.path}/book")
         self.scratch.drop("coded")
         return self
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TokenStore:
+        """A store that any session has written; its tokenizer is known by name only, so it can be read but not written."""
+        store = cls.__new__(cls)
+        store.spark, store.path = spark, path
+        return store
+
     def read(self) -> DataFrame:
         """doc_id, start, n_tokens, ids (little-endian, 4 bytes each) and their CRC-32, all from the files."""
-        lengths = self.lengths
-        totals = {r["part"]: r["n"] for r in self.files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # a row for each range of doc_id
+        book = self.spark.read.schema(BOOK_SCHEMA).parquet(f"{self.path}/book").first()
+        if (book["magic"], book["version"]) != (MAGIC, VERSION):
+            raise ValueError(f"no token store of version {VERSION}: {self.path}")
+        lengths, files = np.frombuffer(bytes(book["lengths"]), np.uint8), self.spark.read.schema(FILE_SCHEMA).parquet(f"{self.path}/files")
+        totals = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # a row for each range of doc_id
         before, start = {}, 0
         for part in sorted(totals):
             before[part], start = start, start + totals[part]
@@ -234,4 +251,4 @@ class TokenStore:
                     names = pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=np.frombuffer(row["known"], np.uint8) == 0)
                     yield pa.RecordBatch.from_arrays([names, pa.array(first + before[row["part"]] + row["start_in_part"]), pa.array(n), pa.array(own, pa.binary()), pa.array([zlib.crc32(x) for x in own], pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-        return self.files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+        return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")

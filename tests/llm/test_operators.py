@@ -68,6 +68,15 @@ def test_token_store(spark, docs):
     assert TokenStore(spark, WORD_PATH, 2).write(fx.empty(spark)).read().count() == 0
 
 
+def test_a_token_store_opens_by_its_path(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/store"
+    written = TokenStore(spark, WORD_PATH, 2, path).write(docs)
+    want = [tuple(r) for r in written.read().collect()]
+    del written
+    fx.same_rows([tuple(r) for r in TokenStore.open(spark, path).read().collect()], want)
+    assert spark.read.parquet(f"{path}/book").first()["tokenizer"] == WORD_FILE
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_bounds_hold(lengths):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer
 
 WORD_FILE = "word_bpe_49k.json"
 BYTE_FILE = "byte_bpe_50k.json"
-CACHE_WORDS = 150_000  # of under 300 bytes each in each of three caches; a full cache starts anew, results don't depend on it
+CACHE_WORDS = 300_000  # in each generation of a cache, of about 120 bytes each; a cache has two, results don't depend on it
 LONGEST_CACHED = 64
 
 _BYTE_WORD = re.compile(rb"[ \t\n]*[^ \t\n]+|[ \t\n]+")
@@ -31,6 +32,10 @@ _MARKS = frozenset(".,;:!?")
 _PLAIN = re.compile("[\t\n\x20-\x7eÀ-įı-ž]+")
 
 
+def _plain(letters: str) -> bool:
+    return letters.isascii() or _PLAIN.fullmatch(letters) is not None
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -38,27 +43,30 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-class _After(dict):
-    """word -> ids of the word after a blank, or after the line end that it starts with."""
+class _Cache(dict):
+    """key -> ids by ``make``. A full cache becomes the older generation and what is asked for again moves back, so frequent words stay."""
 
-    def __init__(self, words: WordIds):
+    def __init__(self, make: Callable[[str | bytes], bytes]):
         super().__init__()
-        self.words = words
+        self.make, self.older = make, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = self.words.encoded(word if word[:1] == b"\n" else b" " + word)
-        if len(word) <= LONGEST_CACHED:
+    def __missing__(self, key: str | bytes) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= LONGEST_CACHED:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
-            self[word] = got
+            self[key] = got
         return got
 
 
-class WordIds(dict):
-    """word bytes -> its ids as little-endian bytes of ``width`` bytes each."""
+class WordIds(_Cache):
+    """word bytes -> its ids as little-endian bytes of ``width`` bytes each; ``after`` has a word's ids after a blank, or after the line end that it starts with."""
 
     def __init__(self, path: str, width: int = 4):
-        super().__init__()
+        super().__init__(self.encoded)
         spec = json.load(open(path, encoding="utf-8"))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -72,47 +80,34 @@ class WordIds(dict):
             raise ValueError("added tokens must start with <|")
         table = dict(enumerate(byte_alphabet()))
         self.to_alphabet = lambda s: s.encode().decode("latin-1").translate(table)
-        self.parts: dict[str, bytes] = {}
-        self.after = _After(self)
+        self.parts = _Cache(self.tokenized)
+        self.after = _Cache(self.encoded_after)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def part(self, s: str) -> bytes:
-        got = self.parts.get(s)
-        if got is None:
-            bare = s[1:] if s[0] == " " else s
-            shown = (s if bare is s else "\u0120" + bare) if bare.isascii() and bare.isalpha() else self.to_alphabet(s)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            got = array(self.code, ids).tobytes()
-            if len(s) <= LONGEST_CACHED:
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                self.parts[s] = got
-        return got
+    def tokenized(self, s: str) -> bytes:
+        shown = s.replace(" ", "\u0120") if s.isascii() and s.isprintable() else self.to_alphabet(s)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def encoded(self, word: bytes) -> bytes:
         s = word.decode()
+        if s.isalpha() and _plain(s):
+            low = s.lower() if self.drops_space else s
+            return self.tokenized(s) if low == s else self[low.encode()]
+        if s[-1] in _MARKS and s[:-1].isalpha() and _plain(s):
+            return self[word[:-1]] + self[word[-1:]]
         if _PLAIN.fullmatch(s) and "<|" not in s:
-            s = s.lower() if self.drops_space else s
-            bare = s[1:] if s[0] == " " else s
-            if bare.isalpha():
-                got = self.part(s)
-            elif bare[-1:] in _MARKS and bare[:-1].isalpha():
-                got = self.part(s[:-1]) + self.part(s[-1])
-            else:
-                got = b"".join(map(self.part, self.split.findall(s)))
-        else:
-            got = self.whole(s)
-        return got
+            return b"".join(map(self.parts.__getitem__, self.split.findall(s.lower() if self.drops_space else s)))
+        return self.whole(s)
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = self.encoded(word)
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = got
-        return got
+    def encoded_after(self, word: bytes) -> bytes:
+        s = word.decode()
+        if s.isalpha() and _plain(s):
+            return self.tokenized(" " + s)
+        if s[-1] in _MARKS and s[:-1].isalpha() and _plain(s):
+            return self.after[word[:-1]] + self[word[-1:]]
+        return self.encoded(word if word[:1] == b"\n" else b" " + word)
 
     def ids(self, text: bytes | None) -> bytes:
         """The ids of one whole text; a null text is empty."""

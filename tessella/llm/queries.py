@@ -62,6 +62,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB. The others depend on a tokenizer, an automaton, a fitted model or a transitive closure and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+        p as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+        s as (select r, unnest(range(1, len(w) - 3)) as i, w from p where len(w) >= 5),
+        g as (select r, i, array_to_string(w[i:i+4], ' ') as k from s),
+        m as (select r, k from g group by r, k having count(*) > 1),
+        h as (select distinct g.r, unnest(range(g.i, g.i + 5)) as i from g join m on g.r = m.r and g.k = m.k),
+        c as (select r, count(*) as n from h group by r),
+        q as (select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+                     len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, len(list_distinct(w)) as n_distinct,
+                     length(regexp_replace(t, '[^!]', '', 'g')) as n_exclamations, length(regexp_replace(t, '\P{L}', '', 'g')) as n_letters, length(regexp_replace(t, '\P{Lu}', '', 'g')) as n_upper
+              from p left join c using (r)),
+        f as (select *, cast(n_words < 10 as bigint) + 2 * cast(100 * n_repeat_words > 20 * n_words as bigint) + 4 * cast(10 * n_symbols > n_words as bigint)
+                     + 8 * cast(n_lines >= 5 and 100 * n_dup_lines > 30 * n_lines as bigint) + 16 * cast(n_upper > 20 and 2 * n_upper > n_letters as bigint)
+                     + 32 * cast(5 * n_exclamations > n_words as bigint) + 64 * cast(word_chars > 20 * n_words as bigint)
+                     + 128 * cast(n_words >= 10 and 4 * n_distinct < n_words and n_distinct * n_distinct < 16 * n_words as bigint)
+                     + 256 * cast(2 * n_letters < word_chars as bigint) as failures from q)
+        select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+               cast(n_repeat_words as bigint) as n_repeat_words, failures % 4 > 0 as base_failed, failures = 0 as kept, failures from f
+    """,
     "op9_threshold_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

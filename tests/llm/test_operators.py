@@ -1,5 +1,7 @@
 import zlib
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import bpe, classifier, near, packing, pii, quality_rules, secrets, substring, topk
+from tessella.llm import bpe, classifier, near, packing, pii, quality_rules, queries, secrets, substring, topk
 from tessella.llm.token_store import MAX_BITS, Codebook, TokenStore, code_lengths
 from tessella.llm.tokens import BYTE_FILE, WORD_FILE, WordIds
 from tests.llm import fixture as fx
@@ -130,6 +132,14 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judged(fx.empty(spark)).count() == 0
 
 
+def test_quality_rules_against_sql(docs):
+    documents = docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(queries.ORACLE_SQL["op3_quality_rules"])
+    fx.same_rows([tuple(r) for r in quality_rules.judged(docs).select(*want.columns).collect()], want.fetchall())
+
+
 def test_pii(spark, docs):
     got = pii.found(docs)
     fx.same_rows([tuple(r) for r in got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()], fx.span_rows(fx.pairs(docs), fx.PRIVATE))
@@ -276,6 +286,36 @@ def test_classifier(spark, docs):
     assert classifier.scored(fx.empty(spark), labels).count() == 0
 
 
+def plain_scores(texts, labels):
+    """Ridge by least squares over stacked rows, isotonic values by the min-max formula; every label is known once."""
+    stats = {i: np.asarray(classifier.statistics(t.encode() if t else None)) for i, t in texts}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in stats}
+    fitted, calibrating = ([i for i in sorted(stats) if i in labels and fold[i] in folds] for folds in ((0, 1), (3,)))
+    x = np.stack([stats[i] for i in fitted])
+    mean, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-8))
+    z = classifier.cosines(x, mean, scale)
+    width = z.shape[1]
+    held = np.diag([0.0] + [np.sqrt(classifier.RIDGE * len(x) / classifier.COSINES)] * (width - 1))
+    stacked = np.vstack([z, held, np.sqrt(1e-9) * np.eye(width)])
+    weights = np.linalg.lstsq(stacked, np.concatenate([[labels[i] for i in fitted], np.zeros(2 * width)]), rcond=None)[0]
+    raw = {i: float((classifier.cosines(stats[i][None], mean, scale) @ weights)[0]) for i in stats}
+    calibrating.sort(key=raw.get)
+    y, n = [labels[i] for i in calibrating], len(calibrating)
+    value = [max(min(Fraction(sum(y[a : b + 1]), b + 1 - a) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+    pools = [[k for k in range(n) if value[k] == v] for v in sorted(set(value))]
+    at = [np.mean([raw[calibrating[k]] for k in pool]) for pool in pools]
+    steps = [(sum(y[k] for k in pool) + sum(y) / n) / (len(pool) + 1) for pool in pools]
+    return {i: min(1.0, max(0.0, float(np.interp(v, at, steps)))) for i, v in raw.items()}
+
+
+def test_classifier_against_a_plain_version(spark):
+    d = "/root/testdata/sf0.001"
+    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    want = plain_scores(fx.pairs(documents), {r["doc_id"]: r["quality"] for r in labels.collect()})
+    got = {r["doc_id"]: r["score"] for r in classifier.scored(documents, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
 def test_classifier_is_right_on_documents_it_has_not_seen(spark):
     d = "/root/testdata/sf0.01"
     scores = classifier.scored(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))

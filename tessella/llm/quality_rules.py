@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD_SPACE, id_and_text
+from tessella.llm.common import WORD_SPACE, Scratch, id_and_text
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -95,6 +95,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return _measured(id_and_text(docs).select("doc_id", F.col("text").alias("row")), F.col("row"))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder: each rule is evaluated once, whatever policies and ablations read it."""
+    return Scratch(docs.sparkSession, "quality-ledger").put("ledger", ledger(docs))
+
+
 def _measured(carried: DataFrame, text: Column) -> DataFrame:
     """``carried`` has doc_id and row; row goes only if it is the text."""
     own = F.coalesce(text, F.lit(""))
@@ -135,11 +140,11 @@ def ablations(entries: DataFrame, version: int) -> DataFrame:
 
 
 def judged(docs: DataFrame, version: int = max(POLICIES)) -> DataFrame:
-    return apply_policy(ledger(docs), version)
+    return apply_policy(stored(docs), version)
 
 
 def passing(docs: DataFrame, version: int = max(POLICIES)) -> DataFrame:
-    """The documents, all columns, that a policy keeps. Text and verdict stay in one row, so nothing moves."""
+    """The documents, all columns, that a policy keeps. Text and verdict stay in one row, so nothing moves and no ledger is stored."""
     names = docs.columns
     carried = docs.select(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     kept = apply_policy(_measured(carried, F.col("row").getField("text").cast("string")), version).filter("kept")

@@ -132,6 +132,21 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judged(fx.empty(spark)).count() == 0
 
 
+def test_policies_and_ablations_read_the_stored_ledger_alone(spark, docs):
+    entries = quality_rules.stored(docs)
+    assert entries.inputFiles() and all("quality-ledger" in x for x in entries.inputFiles())
+    assert "text" not in entries.columns
+    bits = [r["failures"] for r in entries.collect()]
+    for version, names in quality_rules.POLICIES.items():
+        asked, base = quality_rules.mask(names), quality_rules.mask(quality_rules.BASE)
+        told = quality_rules.apply_policy(entries, version)
+        assert told.inputFiles() == entries.inputFiles()
+        assert sorted((r["base_failed"], r["kept"]) for r in told.collect()) == sorted((b & base != 0, b & (asked | base) == 0) for b in bits)
+        lost = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality_rules.ablations(entries, version).collect()}
+        by_bit = {r.name: 1 << i for i, r in enumerate(quality_rules.RULES) if r.name in names}
+        assert lost == {n: (sum(b & k != 0 for b in bits), sum(b & asked == k for b in bits)) for n, k in by_bit.items()}
+
+
 def test_quality_rules_against_sql(docs):
     documents = docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})
     con = duckdb.connect()

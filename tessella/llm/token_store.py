@@ -19,17 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, id_and_text, per_row
+from tessella.llm.common import Scratch, id_and_text
 from tessella.llm.tokens import vocabulary_size, word_ids
 
 MAX_BITS = 18
 CHUNK = 256
 BLOCK_BYTES = 1 << 20
 SLICE_TOKENS = 1 << 20
+SLICE_BYTES = 1 << 24
 PART_TOKENS = 1 << 23
 
 
@@ -127,11 +129,11 @@ class Codebook:
 FILE_SCHEMA = "part int, seq int, start_in_part long, n_ids long, doc_ids binary, known binary, n_tokens binary, byte_sizes binary, payload binary, checkpoints binary"
 
 
-def _rows(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about SLICE_TOKENS tokens, one row at least."""
+def _rows(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes come to ``most`` at most, one row at least."""
     ends, a = np.cumsum(sizes), 0
     while a < len(sizes):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_TOKENS, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
         yield a, b
         a = b
 
@@ -155,12 +157,15 @@ class TokenStore:
         path, width, size, kind = self.tokenizer, self.width, self.size, np.dtype(f"<u{self.width}")
         end = int(self.end_id).to_bytes(width, "little")
 
-        def tokenise(ids: list, texts: list) -> dict:
+        def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = word_ids(path, width)
-            return {"doc_id": ids, "ids": [words.ids(x) + end for x in texts]}
+            for batch in batches:
+                sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)
+                for a, b in _rows(sizes, SLICE_BYTES):
+                    names, texts = (c.slice(a, b - a) for c in batch.columns)
+                    yield pa.RecordBatch.from_arrays([names, words.column(texts, end)], names=["doc_id", "ids"])
 
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-        tokens = self.scratch.put("tokens", id_and_text(docs).mapInArrow(per_row(tokenise, schema), "doc_id long, ids binary"))
+        tokens = self.scratch.put("tokens", id_and_text(docs).mapInArrow(tokenise, "doc_id long, ids binary"))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size, np.int64)
@@ -183,7 +188,7 @@ class TokenStore:
             for batch in batches:
                 raw = batch.column(1).to_pylist()
                 sizes = np.asarray([len(x) // width for x in raw], np.int64)
-                for a, b in _rows(sizes):
+                for a, b in _rows(sizes, SLICE_TOKENS):
                     payloads, marks = book.encode(np.frombuffer(b"".join(raw[a:b]), kind).astype(np.int64), sizes[a:b])
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes[a:b]), pa.array(payloads, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n_tokens", "payload", "checkpoints"])
 

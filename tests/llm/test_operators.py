@@ -4,6 +4,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +39,29 @@ def test_cached_words_give_the_ids_of_the_whole_text(path):
         assert np.frombuffer(cached.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [WORD_PATH, BYTE_PATH])
+def test_columns_of_texts_give_the_ids_of_whole_texts(path):
+    cached, whole = WordIds(path), Tokenizer.from_file(path)
+
+    def check(texts, skip):
+        got = cached.column(pa.array(texts, pa.string()).slice(skip), b"\2\0\0\0").to_pylist()
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[skip:]]
+
+    settings(max_examples=200, deadline=None)(given(st.lists(st.one_of(st.none(), AWKWARD), min_size=1, max_size=6), st.integers(0, 2))(check))()
+    odd = ["Dog's. dog's, x'. 'S.'s a-'. ...", "× a×. ÷, é×! —, a—. ½. 12.5, (3)", "I\u0307. İ. ſ. e\u0301. e\u0301a, ÉTÉ. ŉ! =\u0338 a=\u0338.", "слово. СЛОВО, 字。 a\x1cb. \ufeffa.", None, "", " \t\n", "x" * 200 + "."]
+    check(odd, 1)
+    check([*odd, "Foo. <|endoftext|>FOO, <|ENDOFTEXT|>. a<|startoftext|>", "FOO. Foo"], 0)
+    check([None, ""], 0)
+
+
+def test_word_forms_reach_the_library_once():
+    cached, asked = WordIds(WORD_PATH), []
+    make = cached.make
+    cached.make = lambda word: (asked.append(word), make(word))[1]
+    cached.column(pa.array(["Foo foo, FOO. (foo)", "foo! fOO; FOO, größe, größe."]), b"\2\0\0\0")
+    assert sorted(asked) == sorted([b"foo", "größe".encode(), b"(foo", b")", b",", b".", b"!", b";"])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=300), st.data())
 def test_huffman_round_trip(counts, data):

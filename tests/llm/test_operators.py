@@ -411,3 +411,36 @@ def test_bpe_merges_like_the_library():
 
     same()
     assert own.encode("<|endoftext|>a") == whole.encode("<|endoftext|>a", add_special_tokens=False).ids
+
+
+def test_bpe_columns_give_the_ids_of_whole_texts():
+    own, whole = bpe.SegmentTreeBpe(WORD_PATH), Tokenizer.from_file(WORD_PATH)
+
+    def check(texts, skip):
+        got = [(n, str(ids, "utf-8"), str(decoded, "utf-8")) for n, ids, decoded in own.column(pa.array(texts, pa.string()).slice(skip))]
+        ids = [whole.encode(t or "", add_special_tokens=False).ids for t in texts[skip:]]
+        assert got == [(len(x), " ".join(map(str, x)), whole.decode(x, skip_special_tokens=False)) for x in ids]
+
+    settings(max_examples=200, deadline=None)(given(st.lists(st.one_of(st.none(), AWKWARD), min_size=1, max_size=6), st.integers(0, 2))(check))()
+    odd = ["Dog's. dog's, x'. 'S.'s a-'. ...", "× a×. ÷, é×! —, a—. ½. 12.5, (3)", "W\u030a H\u0331, e\u0301. E\u0301A, ŉ! =\u0338 a=\u0338.", "I\u0307. \u0130. ſ. Σ. слово. СЛОВО, 字。 a\x1cb. \ufeffa.", None, "", " \t\n", "x" * 200 + "."]
+    check(odd, 1)
+    check([*odd, "Foo. <|endoftext|>FOO, <|ENDOFTEXT|>. a<|startoftext|> <| .<|", "FOO. Foo"], 0)
+    for few in ([None, ""], ["\u3000  "], ["\u3000", "a"], []):
+        check(few, 0)
+    check([" ".join(f"a{chr(c)}b {chr(c)} {chr(c)}. x.{chr(c)}" for c in range(0x21, 0x250))], 0)
+
+
+def test_bpe_of_parts_of_every_length_merges_like_the_library():
+    own, whole, rng = bpe.SegmentTreeBpe(WORD_PATH), Tokenizer.from_file(WORD_PATH), np.random.default_rng(3)
+    parts = sorted({"".join(rng.choice(list(letters), n)) for n in range(1, 140) for letters in ("etaoinshr", "ab", "aeéß", "字語日本", "q") for _ in range(4)})
+    ids, counts = own.many(pa.array(parts, pa.large_string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [whole.encode(x, add_special_tokens=False).ids for x in parts]
+
+
+def test_bpe_takes_equal_parts_of_a_column_once_and_their_merges_together(monkeypatch):
+    own, asked, scalar, texts = bpe.SegmentTreeBpe(WORD_PATH), [], [], ["Foo foo, FOO. (foo)", "foo! fOO; FOO, größe, größe."]
+    many = own.many
+    monkeypatch.setattr(own, "many", lambda parts: (asked.extend(parts.to_pylist()), many(parts))[1])
+    monkeypatch.setattr(own, "merged", lambda ids: scalar.append(ids))
+    assert [x[0] for x in own.column(pa.array(texts))] == [len(Tokenizer.from_file(WORD_PATH).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sorted(asked) == sorted(["foo", "größe", "(", ")", ",", ".", "!", ";"]) and not scalar
